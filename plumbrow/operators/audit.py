@@ -23,7 +23,7 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 def label_rate(df: DataFrame, by: str, label: str, decimals: int = 4) -> DataFrame:
     """Rows and share of positive labels per partition."""
     return df.groupBy(by).agg(
-        F.count("*").alias("n"), F.round(F.avg(F.col(label).cast("double")), decimals).alias("attack_rate")
+        F.count("*").alias("n"), round_even(F.avg(F.col(label).cast("double")), decimals).alias("attack_rate")
     )
 
 
@@ -50,7 +50,7 @@ def duplicates(df: DataFrame, features: Sequence[str], decimals: int = 4) -> Dat
         total.alias("n_rows"),
         F.count("*").alias("n_groups"),
         (total - F.count("*")).alias("duplicate_rows"),
-        F.round(ratio(total - F.count("*"), total), decimals).alias("duplicate_rate"),
+        round_even(ratio(total - F.count("*"), total), decimals).alias("duplicate_rate"),
     )
 
 
@@ -85,7 +85,7 @@ def label_conflicts(df: DataFrame, features: Sequence[str], label: str, decimals
     return _by_vector(df, features, label).agg(
         F.count(F.when(mixed, 1)).alias("conflicting_groups"),
         rows.alias("conflict_rows"),
-        F.round(ratio(rows, F.coalesce(F.sum("n"), F.lit(0))), decimals).alias("conflict_rate"),
+        round_even(ratio(rows, F.coalesce(F.sum("n"), F.lit(0))), decimals).alias("conflict_rate"),
     )
 
 
@@ -112,11 +112,11 @@ def ceiling_columns() -> dict[str, Column]:
     return {
         "n_rows": rows,
         "n_groups": F.count("*"),
-        "duplicate_rate": F.round(ratio(rows - F.count("*"), rows), 4),
+        "duplicate_rate": round_even(ratio(rows - F.count("*"), rows), 4),
         "conflicting_groups": F.count(F.when(mixed, 1)),
         "rows_in_conflicting_groups": mixed_rows,
-        "rows_in_conflicting_groups_pct": F.round(ratio(mixed_rows * 100, rows), 2),
-        "deterministic_upper_bound": F.round(ratio(F.sum(F.greatest(pos, n - pos)), rows), 4),
+        "rows_in_conflicting_groups_pct": round_even(ratio(mixed_rows * 100, rows), 2),
+        "deterministic_upper_bound": round_even(ratio(F.sum(F.greatest(pos, n - pos)), rows), 4),
     }
 
 
@@ -179,7 +179,7 @@ def overlap_columns(train: str, test: str) -> dict[str, Column]:
         "n_test": n_test,
         "shared_groups": F.count(F.when(shared, 1)),
         "test_rows_whose_vector_also_in_train": leaked,
-        "test_rows_leaked_pct": F.round(ratio(leaked * 100, n_test), 2),
+        "test_rows_leaked_pct": round_even(ratio(leaked * 100, n_test), 2),
     }
 
 
@@ -203,7 +203,7 @@ def entity_overlap(df: DataFrame, entity: str, split: str = "split") -> DataFram
         F.count(F.when(test, 1)).alias("distinct_entities_test"),
         F.count(F.when(train & test, 1)).alias("shared_entities"),
         leaked.alias("test_rows_with_entity_seen_in_train"),
-        F.round(ratio(leaked * 100, n_test), 2).alias("test_rows_with_entity_seen_in_train_pct"),
+        round_even(ratio(leaked * 100, n_test), 2).alias("test_rows_with_entity_seen_in_train_pct"),
     )
 
 
@@ -229,7 +229,7 @@ def metric_delta(report: DataFrame, section: str, base: str, other: str, decimal
     return (
         report.filter((F.col("section") == section) & F.col("item").isin(base, other))
         .groupBy("metric")
-        .agg(F.round(value(other) - value(base), decimals).alias("delta"))
+        .agg(round_even(value(other) - value(base), decimals).alias("delta"))
     )
 
 

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbrow.functions.columns import clip, ratio
+from plumbrow.functions.columns import clip, ratio, round_even
 
 
 def _count(values: Column, test) -> Column:
@@ -42,11 +42,11 @@ def boundary_report(df: DataFrame, scaled: str) -> DataFrame:
         total("n").alias("test_values_total"),
         total("below").alias("values_below_minus1_before_clipping"),
         total("above").alias("values_above_plus1_before_clipping"),
-        F.round(ratio(out * 100, total("n")), 4).alias("out_of_range_rate_pct"),
+        round_even(ratio(out * 100, total("n")), 4).alias("out_of_range_rate_pct"),
         total("out").alias("test_rows_with_at_least_one_out_of_range_value"),
-        F.round(ratio(total("out") * 100, F.count("*")), 3).alias("test_rows_with_out_of_range_pct"),
+        round_even(ratio(total("out") * 100, F.count("*")), 3).alias("test_rows_with_out_of_range_pct"),
         out.alias("values_that_would_alias_without_clipping"),
-        F.round(F.max("largest"), 4).alias("max_absolute_normalized_value_before_clipping"),
+        round_even(F.max("largest"), 4).alias("max_absolute_normalized_value_before_clipping"),
         total("at_low").alias("values_clipped_to_minus1"),
         total("at_high").alias("values_clipped_to_plus1"),
         F.least(total("at_low"), total("at_high")).alias("endpoint_collision_pairs"),

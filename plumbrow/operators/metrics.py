@@ -14,6 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbrow.functions.columns import ratio
+from plumbrow.session import settle
 
 BUCKETS = 1024
 THRESHOLDS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
@@ -120,15 +121,18 @@ def ranking_metrics(counts: DataFrame, by: Sequence[str] = ("config",), buckets:
     The running counts over descending scores are two-level. Scores are cut into value
     buckets at sketched quantiles; a window over the bucket totals gives the counts above a
     bucket, and windows inside the buckets do the rest, so no task sorts all scores. Bucket
-    bounds are literals: a task that runs again sees the same buckets.
+    bounds are literals: a task that runs again sees the same buckets. The distinct scores
+    are stored once, so the scoring behind them runs once.
     """
+    scores = settle(
+        counts.groupBy(*by, "score").agg(
+            F.sum("pos").cast("double").alias("pos"), F.sum("neg").cast("double").alias("neg")
+        )
+    )
     marks = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(counts.approxQuantile("score", marks, 0.25 / buckets)))
+    bounds = sorted(set(scores.approxQuantile("score", marks, 0.25 / buckets)))
     inf = float("inf")
     splits = [-inf, *[b for b in bounds if -inf < b < inf], inf]
-    scores = counts.groupBy(*by, "score").agg(
-        F.sum("pos").cast("double").alias("pos"), F.sum("neg").cast("double").alias("neg")
-    )
     if len(splits) > 2:
         bucketizer = Bucketizer(splits=splits, inputCol="score", outputCol="bucket", handleInvalid="keep")
         scores = bucketizer.transform(scores)
@@ -155,5 +159,6 @@ def ranking_metrics(counts: DataFrame, by: Sequence[str] = ("config",), buckets:
 
 
 def full_metrics(counts: DataFrame, by: Sequence[str] = ("config",)) -> DataFrame:
-    """Attack metrics and ranking metrics side by side."""
+    """Attack metrics and ranking metrics side by side, from one evaluation of the counts."""
+    counts = settle(counts)
     return attack_metrics(counts, by).join(ranking_metrics(counts, by), on=list(by))

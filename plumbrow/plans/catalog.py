@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plumbrow.functions import columns as C
 from plumbrow.operators import audit, boundary, clean, metrics, ranking, sampling, significance, transforms
 from plumbrow.plans.leakage import leakage_audit
-from plumbrow.plans.lookup import lookup_counts, lookup_fold_counts, train_prior
+from plumbrow.plans.lookup import lookup_counts, lookup_fold_counts, train_prior, vector_folds, vector_sides
 from plumbrow.session import scratch_path
 from plumbrow.sources import files, manifest, sinks
 from plumbrow.sources.views import (
@@ -332,7 +332,7 @@ def metric_delta(spark, sf):
     grouped = sampling.group_split(lineitem(spark, sf), LI_FEATURES)
     parts = []
     for item, rows in (("random", li), ("group", grouped)):
-        counts = lookup_counts(rows, LI_FEATURES, item, prior)
+        counts = lookup_counts(vector_sides(rows, LI_FEATURES), LI_FEATURES, item, prior)
         parts.append(audit.long_report(metrics.attack_metrics(counts).drop("config"), "metrics", item))
     return _rounded(audit.metric_delta(files.union_tables(parts), "metrics", "random", "group"))
 
@@ -444,7 +444,8 @@ def boundary_report(spark, sf):
 
 def _counts(spark, sf) -> DataFrame:
     li, prior = _li_split(spark, sf)
-    parts = [lookup_counts(li, feats, name, prior) for name, feats in FEATURE_SETS.items()]
+    sides = vector_sides(li, LI4_FEATURES)
+    parts = [lookup_counts(sides, feats, name, prior) for name, feats in FEATURE_SETS.items()]
     return files.union_tables(parts)
 
 
@@ -477,8 +478,8 @@ def scored_row_metrics(spark, sf):
 def _fold_metrics(spark, sf) -> DataFrame:
     li = lineitem(spark, sf)
     folds = sampling.fit_stratified_folds(li, "label", LI_KEY, ties=LI_TIES)
-    rows = folds.transform(li, "fold")
-    counts = files.union_tables([lookup_fold_counts(rows, f, c, folds, 5) for c, f in FEATURE_SETS.items()])
+    per_fold = vector_folds(folds.transform(li, "fold"), LI4_FEATURES, 5)
+    counts = files.union_tables([lookup_fold_counts(per_fold, f, c, folds, 5) for c, f in FEATURE_SETS.items()])
     wide = metrics.attack_metrics(counts, ["config", "fold"])
     return significance.long_metrics(wide, ["config", "fold"], ["accuracy", "attack_recall", "attack_f1"])
 

@@ -70,12 +70,12 @@ EMB_SPLIT = split_ctes("emb", "vec_id")
 
 def ceiling(source: str, features: str) -> str:
     return f"""SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_groups,
-  round((sum(n) - count(*)) / CAST(sum(n) AS DOUBLE), 4) AS duplicate_rate,
+  round_even((sum(n) - count(*)) / CAST(sum(n) AS DOUBLE), 4) AS duplicate_rate,
   count(*) FILTER (WHERE pos > 0 AND pos < n) AS conflicting_groups,
   CAST(coalesce(sum(n) FILTER (WHERE pos > 0 AND pos < n), 0) AS BIGINT) AS rows_in_conflicting_groups,
-  round(100 * coalesce(sum(n) FILTER (WHERE pos > 0 AND pos < n), 0) / CAST(sum(n) AS DOUBLE), 2)
+  round_even(100 * coalesce(sum(n) FILTER (WHERE pos > 0 AND pos < n), 0) / CAST(sum(n) AS DOUBLE), 2)
     AS rows_in_conflicting_groups_pct,
-  round(sum(greatest(pos, n - pos)) / CAST(sum(n) AS DOUBLE), 4) AS deterministic_upper_bound
+  round_even(sum(greatest(pos, n - pos)) / CAST(sum(n) AS DOUBLE), 4) AS deterministic_upper_bound
 FROM (SELECT count(*) AS n, sum(label) AS pos FROM {source} GROUP BY {features})"""
 
 
@@ -83,7 +83,7 @@ def overlap(source: str, features: str) -> str:
     return f"""SELECT CAST(sum(a) AS BIGINT) AS n_train, CAST(sum(b) AS BIGINT) AS n_test,
   count(*) FILTER (WHERE a > 0 AND b > 0) AS shared_groups,
   CAST(coalesce(sum(b) FILTER (WHERE a > 0 AND b > 0), 0) AS BIGINT) AS test_rows_whose_vector_also_in_train,
-  round(100 * coalesce(sum(b) FILTER (WHERE a > 0 AND b > 0), 0) / CAST(sum(b) AS DOUBLE), 2) AS test_rows_leaked_pct
+  round_even(100 * coalesce(sum(b) FILTER (WHERE a > 0 AND b > 0), 0) / CAST(sum(b) AS DOUBLE), 2) AS test_rows_leaked_pct
 FROM (SELECT count(*) FILTER (WHERE split = 'train') AS a, count(*) FILTER (WHERE split = 'test') AS b
       FROM {source} GROUP BY {features})"""
 
@@ -95,7 +95,7 @@ def entities(source: str, entity: str) -> str:
   (SELECT count(*) FROM (SELECT {entity} FROM {source} WHERE split = 'train' AND {entity} IS NOT NULL
      INTERSECT SELECT {entity} FROM {source} WHERE split = 'test' AND {entity} IS NOT NULL)) AS shared_entities,
   count(*) FILTER (WHERE seen) AS test_rows_with_entity_seen_in_train,
-  round(100 * count(*) FILTER (WHERE seen) / CAST(count(*) AS DOUBLE), 2) AS test_rows_with_entity_seen_in_train_pct
+  round_even(100 * count(*) FILTER (WHERE seen) / CAST(count(*) AS DOUBLE), 2) AS test_rows_with_entity_seen_in_train_pct
 FROM (SELECT {entity} IS NOT NULL AND {entity} IN
         (SELECT {entity} FROM {source} WHERE split = 'train' AND {entity} IS NOT NULL) AS seen
       FROM {source} WHERE split = 'test')"""
@@ -104,14 +104,14 @@ FROM (SELECT {entity} IS NOT NULL AND {entity} IN
 def duplicates(source: str, features: str) -> str:
     return f"""SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_groups,
   CAST(sum(n - 1) AS BIGINT) AS duplicate_rows,
-  round(sum(n - 1) / CAST(sum(n) AS DOUBLE), 4) AS duplicate_rate
+  round_even(sum(n - 1) / CAST(sum(n) AS DOUBLE), 4) AS duplicate_rate
 FROM (SELECT count(*) AS n FROM {source} GROUP BY {features})"""
 
 
 def conflicts(source: str, features: str) -> str:
     return f"""SELECT count(*) FILTER (WHERE k > 1) AS conflicting_groups,
   CAST(coalesce(sum(n) FILTER (WHERE k > 1), 0) AS BIGINT) AS conflict_rows,
-  round(coalesce(sum(n) FILTER (WHERE k > 1), 0) / CAST(sum(n) AS DOUBLE), 4) AS conflict_rate
+  round_even(coalesce(sum(n) FILTER (WHERE k > 1), 0) / CAST(sum(n) AS DOUBLE), 4) AS conflict_rate
 FROM (SELECT count(*) AS n, count(DISTINCT label) AS k FROM {source} GROUP BY {features})"""
 
 
@@ -143,7 +143,7 @@ jd AS (SELECT * REPLACE (round_even(l_quantity, 1) AS l_quantity, round_even(l_d
 UNION ALL {long("rounded", ceiling("jd", LI4), CEILING_COLUMNS)}
 UNION ALL {long("random_split_overlap", overlap("sp", LI4), OVERLAP_COLUMNS)}
 UNION ALL {long("group_split_overlap", overlap("gs", LI4), OVERLAP_COLUMNS)}
-UNION ALL SELECT 'group_split_overlap', 'all', split || '_attack_rate', round(avg(CAST(label AS DOUBLE)), 4)
+UNION ALL SELECT 'group_split_overlap', 'all', split || '_attack_rate', round_even(avg(CAST(label AS DOUBLE)), 4)
   FROM gs GROUP BY split
 UNION ALL {long("entity_overlap_random_split", entities("sp", "l_suppkey"), ENTITY_COLUMNS)}"""
 
@@ -262,8 +262,8 @@ pr AS (SELECT a.metric, a.fold, b.value - a.value AS d FROM fm a JOIN fm b USING
        WHERE a.config = 'q' AND b.config = 'qdtl'),
 rk AS (SELECT metric, d, CASE WHEN d <> 0 THEN rank() OVER (PARTITION BY metric, d <> 0 ORDER BY abs(d))
          + (count(*) OVER (PARTITION BY metric, abs(d)) - 1) / 2.0::DOUBLE END AS r FROM pr)
-SELECT metric, count(*) AS folds, round(avg(d), 4) + 0.0 AS mean_difference,
-  round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 4) + 0.0 AS t,
+SELECT metric, count(*) AS folds, round_even(avg(d), 4) + 0.0 AS mean_difference,
+  round_even(avg(d) / (stddev_samp(d) / sqrt(count(*))), 4) + 0.0 AS t,
   coalesce(sum(r) FILTER (WHERE d > 0), 0.0::DOUBLE) AS w_plus,
   coalesce(sum(r) FILTER (WHERE d < 0), 0.0::DOUBLE) AS w_minus
 FROM rk GROUP BY metric"""
@@ -291,12 +291,12 @@ te AS (SELECT * FROM un WHERE split = 'test')
 SELECT count(*) AS test_values_total,
   count(*) FILTER (WHERE u < -1) AS values_below_minus1_before_clipping,
   count(*) FILTER (WHERE u > 1) AS values_above_plus1_before_clipping,
-  round(100 * count(*) FILTER (WHERE abs(u) > 1) / CAST(count(*) AS DOUBLE), 4) AS out_of_range_rate_pct,
+  round_even(100 * count(*) FILTER (WHERE abs(u) > 1) / CAST(count(*) AS DOUBLE), 4) AS out_of_range_rate_pct,
   count(DISTINCT vec_id) FILTER (WHERE abs(u) > 1) AS test_rows_with_at_least_one_out_of_range_value,
-  round(100 * count(DISTINCT vec_id) FILTER (WHERE abs(u) > 1) / CAST(count(DISTINCT vec_id) AS DOUBLE), 3)
+  round_even(100 * count(DISTINCT vec_id) FILTER (WHERE abs(u) > 1) / CAST(count(DISTINCT vec_id) AS DOUBLE), 3)
     AS test_rows_with_out_of_range_pct,
   count(*) FILTER (WHERE abs(u) > 1) AS values_that_would_alias_without_clipping,
-  round(max(abs(u)), 4) AS max_absolute_normalized_value_before_clipping,
+  round_even(max(abs(u)), 4) AS max_absolute_normalized_value_before_clipping,
   (SELECT count(*) FROM er WHERE x = -1) AS values_clipped_to_minus1,
   (SELECT count(*) FROM er WHERE x = 1) AS values_clipped_to_plus1,
   least((SELECT count(*) FROM er WHERE x = -1), (SELECT count(*) FROM er WHERE x = 1)) AS endpoint_collision_pairs,
@@ -375,8 +375,8 @@ ORACLE = {
         FROM (SELECT event_id, value, value / 10 AS v FROM events)""",
     "class_counts": f"WITH {LI} SELECT label, count(*) AS n FROM li GROUP BY label",
     "attack_rate_by_split": f"""WITH {EV}, {EV_SPLIT} SELECT split, count(*) AS n,
-        round(avg(CAST(label AS DOUBLE)), 4) AS attack_rate FROM sp GROUP BY split""",
-    "attack_rate_by_entity": f"""WITH {EV} SELECT user_id, count(*) AS n, round(avg(CAST(label AS DOUBLE)), 4) AS attack_rate
+        round_even(avg(CAST(label AS DOUBLE)), 4) AS attack_rate FROM sp GROUP BY split""",
+    "attack_rate_by_entity": f"""WITH {EV} SELECT user_id, count(*) AS n, round_even(avg(CAST(label AS DOUBLE)), 4) AS attack_rate
         FROM ev GROUP BY user_id""",
     "duplicate_rate": f"WITH {LI} {duplicates('li', LI4)}",
     "duplicate_rate_text": duplicates("documents", "text"),
@@ -409,7 +409,7 @@ ORACLE = {
         sc AS (SELECT *, CAST(score >= 0.5 AS INTEGER) AS pred FROM ({lookup('sp', LI3, 'random', PRIOR)}
           UNION ALL {lookup('gs', LI3, 'group', PRIOR)})),
         am AS ({attack('config', 'sc')})
-        {" UNION ALL ".join(f"SELECT '{m}' AS metric, round(g.{m} - r.{m}, 4) + 0.0 AS delta FROM am g, am r WHERE g.config = 'group' AND r.config = 'random'" for m in ATTACK_COLUMNS)}""",
+        {" UNION ALL ".join(f"SELECT '{m}' AS metric, round_even(g.{m} - r.{m}, 4) + 0.0 AS delta FROM am g, am r WHERE g.config = 'group' AND r.config = 'random'" for m in ATTACK_COLUMNS)}""",
     "sample_fraction": f"""WITH {EV}, r AS (SELECT event_id, label, row_number() OVER (PARTITION BY label ORDER BY
         {hashed('event_id')}) AS rn, count(*) OVER (PARTITION BY label) AS n FROM ev)
         SELECT event_id, label FROM r WHERE label <> 0 OR rn <= round_even(0.1::DOUBLE * n, 0)""",
@@ -483,5 +483,5 @@ ORACLE = {
         count(*) - CAST(ceil(0.2::DOUBLE * count(*)) AS BIGINT) AS n_train, CAST(ceil(0.2::DOUBLE * count(*)) AS BIGINT) AS n_test
         FROM ev""",
     "csv_labelled_ingest": f"""WITH {LI} SELECT label, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys,
-        round(sum(l_extendedprice), 2) AS price FROM li GROUP BY label""",
+        round_even(sum(l_extendedprice), 2) AS price FROM li GROUP BY label""",
 }

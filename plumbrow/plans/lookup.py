@@ -28,32 +28,44 @@ def _scored(config: str, score: Column) -> list[Column]:
     return [F.lit(config).alias("config"), score.alias("score"), (score >= 0.5).cast("int").alias("pred")]
 
 
-def lookup_counts(
-    df: DataFrame, features: Sequence[str], config: str, prior: float, label: str = "label", split: str = "split",
-) -> DataFrame:
-    """Score counts ``(config, score, pred, pos, neg)`` of the test rows."""
+def vector_sides(df: DataFrame, features: Sequence[str], label: str = "label", split: str = "split") -> DataFrame:
+    """Training rows ``n`` and positives ``p``, test positives ``pos`` and negatives ``neg`` per vector."""
     train, test = F.col(split) == "train", F.col(split) == "test"
     hit = F.col(label) == 1
-    per = df.groupBy(*features).agg(
+    return df.groupBy(*features).agg(
         _count(train).alias("n"), _count(train & hit).alias("p"),
         _count(test & hit).alias("pos"), _count(test & ~hit).alias("neg"),
     )
+
+
+def lookup_counts(sides: DataFrame, features: Sequence[str], config: str, prior: float) -> DataFrame:
+    """Score counts ``(config, score, pred, pos, neg)`` of the test rows.
+
+    ``sides`` may be grouped by more features than asked for: rows are reduced to the finest
+    vectors once, and every coarser feature set adds those records up.
+    """
+    per = sides.groupBy(*features).agg(*[F.sum(c).alias(c) for c in ("n", "p", "pos", "neg")])
     n = F.col("n").cast("double")
     score = F.when(n > 0, F.col("p") / n).otherwise(F.lit(prior))
     return per.filter("pos + neg > 0").select(*_scored(config, score), "pos", "neg")
 
 
-def lookup_fold_counts(
-    df: DataFrame, features: Sequence[str], config: str, folds: BlockModel, k: int, label: str = "label",
-    fold: str = "fold",
-) -> DataFrame:
-    """The same for every fold, each scored by the other folds, in one aggregate."""
+def vector_folds(df: DataFrame, features: Sequence[str], k: int, label: str = "label", fold: str = "fold") -> DataFrame:
+    """Rows and positives per vector: all (``n``, ``p``) and of each fold (``n0``, ``p0``, …)."""
     hit = F.col(label) == 1
     aggs = [_count(hit).alias("p"), F.count("*").alias("n")]
     for f in range(k):
         here = F.col(fold) == f
         aggs += [_count(here & hit).alias(f"p{f}"), _count(here).alias(f"n{f}")]
-    per = df.groupBy(*features).agg(*aggs)
+    return df.groupBy(*features).agg(*aggs)
+
+
+def lookup_fold_counts(
+    per_fold: DataFrame, features: Sequence[str], config: str, folds: BlockModel, k: int,
+) -> DataFrame:
+    """Score counts of every fold, each scored by the other folds; no row is read again."""
+    names = ["n", "p", *[f"{c}{f}" for f in range(k) for c in "np"]]
+    per = per_fold.groupBy(*features).agg(*[F.sum(c).alias(c) for c in names])
     sizes = fold_sizes(folds.counts, k)
     positives, total = folds.counts.get(1, 0), sum(folds.counts.values())
     rows = []
