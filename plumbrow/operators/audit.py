@@ -44,8 +44,8 @@ def hashed_vectors(df: DataFrame, features: Sequence[str], out: str = "vector")
 
 def duplicates(df: DataFrame, features: Sequence[str], decimals: int = 4) -> DataFrame:
     """Rows beyond the first of each vector, and their share."""
-    per = df.groupBy(*features).agg(F.count("*").alias("n"))
-    total = F.coalesce(F.sum("n"), F.lit(0))
+    per = df.groupBy(*features).agg(F.count("*").alias("_n"))
+    total = F.coalesce(F.sum("_n"), F.lit(0))
     return per.agg(
         total.alias("n_rows"),
         F.count("*").alias("n_groups"),
@@ -62,52 +62,53 @@ def flag_duplicates(
     The first rows come from a grouped minimum and are matched on the unique row key, so the
     join is even however the vectors are distributed.
     """
-    firsts = (
-        df.groupBy(*features).agg(F.min(F.struct(*key)).alias("k")).select("k.*", F.lit(0).alias(out))
-    )
+    if len(key) == 1:  # a plain minimum keeps the hash aggregate
+        firsts = df.groupBy(*features).agg(F.min(key[0]).alias(key[0])).select(key[0], F.lit(0).alias(out))
+    else:
+        firsts = df.groupBy(*features).agg(F.min(F.struct(*key)).alias("_k")).select("_k.*", F.lit(0).alias(out))
     joined = df.join(firsts, on=list(key), how="left")
     return joined.withColumn(out, F.coalesce(out, F.lit(1))).select(*df.columns, out)
 
 
 def _by_vector(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     return df.groupBy(*features).agg(
-        F.count("*").alias("n"),
-        F.min(label).alias("low"),
-        F.max(label).alias("high"),
-        F.sum(F.col(label).cast("long")).alias("pos"),
+        F.count("*").alias("_n"),
+        F.min(label).alias("_low"),
+        F.max(label).alias("_high"),
+        F.sum(F.col(label).cast("long")).alias("_pos"),
     )
 
 
 def label_conflicts(df: DataFrame, features: Sequence[str], label: str, decimals: int = 4) -> DataFrame:
     """Rows whose vector carries more than one label."""
-    mixed = F.col("low") != F.col("high")
-    rows = F.coalesce(F.sum(F.when(mixed, F.col("n"))), F.lit(0))
+    mixed = F.col("_low") != F.col("_high")
+    rows = F.coalesce(F.sum(F.when(mixed, F.col("_n"))), F.lit(0))
     return _by_vector(df, features, label).agg(
         F.count(F.when(mixed, 1)).alias("conflicting_groups"),
         rows.alias("conflict_rows"),
-        round_even(ratio(rows, F.coalesce(F.sum("n"), F.lit(0))), decimals).alias("conflict_rate"),
+        round_even(ratio(rows, F.coalesce(F.sum("_n"), F.lit(0))), decimals).alias("conflict_rate"),
     )
 
 
 def conflict_rows(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """The rows themselves, found by membership in the set of conflicting vectors."""
-    mixed = _by_vector(df, features, label).filter("low <> high").select(*features, "n")
-    return join_groups(df, mixed, features, "n", df.count(), "left_semi")
+    mixed = _by_vector(df, features, label).filter("_low <> _high").select(*features, "_n")
+    return join_groups(df, mixed, features, "_n", df.count(), "left_semi")
 
 
 def unique_vectors(df: DataFrame, features: Sequence[str], label: str, value: int = 1) -> DataFrame:
     """Distinct vectors and rows of one class."""
-    per = df.filter(F.col(label) == value).groupBy(*features).agg(F.count("*").alias("n"))
+    per = df.filter(F.col(label) == value).groupBy(*features).agg(F.count("*").alias("_n"))
     return per.agg(
-        F.count("*").alias("unique_vectors"), F.coalesce(F.sum("n"), F.lit(0)).alias("class_rows")
+        F.count("*").alias("unique_vectors"), F.coalesce(F.sum("_n"), F.lit(0)).alias("class_rows")
     )
 
 
 def ceiling_columns() -> dict[str, Column]:
-    """Report columns over one record per vector with ``n`` rows and ``pos`` positives."""
-    pos, n = F.col("pos"), F.col("n")
+    """Report columns over one record per vector with ``_n`` rows and ``_pos`` positives."""
+    pos, n = F.col("_pos"), F.col("_n")
     mixed = (pos > 0) & (pos < n)
-    rows = F.coalesce(F.sum("n"), F.lit(0))
+    rows = F.coalesce(F.sum("_n"), F.lit(0))
     mixed_rows = F.coalesce(F.sum(F.when(mixed, n)), F.lit(0))
     return {
         "n_rows": rows,
@@ -140,20 +141,18 @@ def with_group_id(
     """
     if mode == "key":
         return df.withColumn(out, vector_key(df, features))
-    groups = df.groupBy(*features).agg(F.count("*").alias("n")).orderBy(*features)
-    stored = settle(groups.withColumn("at", F.monotonically_increasing_id()))
-    partition, position = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
-    sizes = stored.groupBy(partition.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()
-    starts, seen = [], 0
-    for r in sizes:  # one record per partition of the sort
-        starts += [F.lit(r["p"]), F.lit(seen)]
-        seen += r["n"]
-    if not starts:
-        return df.withColumn(out, F.lit(0).cast("long"))
-    start = F.element_at(F.create_map(*starts), partition)
-    numbered = stored.select(*features, "n", (start + position).cast("long").alias(out))
-    total = numbered.agg(F.sum("n")).first()[0]
-    return join_groups(df, numbered, features, "n", total).drop("n")
+    groups = df.groupBy(*features).agg(F.count("*").alias("_n")).orderBy(*features)
+    stored = settle(groups.withColumn("_at", F.monotonically_increasing_id()))
+    partition, position = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = stored.groupBy(partition.alias("_p")).agg(F.count("*").alias("groups"), F.sum("_n").alias("rows"))
+    starts, seen, total = [], 0, 0
+    for r in sizes.orderBy("_p").collect():  # one record per partition of the sort
+        starts.append((r["_p"], seen))
+        seen, total = seen + r["groups"], total + r["rows"]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "_p long, _start long"))
+    numbered = stored.withColumn("_p", partition).join(offsets, on="_p")
+    numbered = numbered.select(*features, "_n", (F.col("_start") + position).alias(out))
+    return join_groups(df, numbered, features, "_n", total).drop("_n")
 
 
 # ---------------------------------------------------------------- overlap
@@ -186,18 +185,18 @@ def overlap_columns(train: str, test: str) -> dict[str, Column]:
 def overlap(df: DataFrame, features: Sequence[str], split: str = "split") -> DataFrame:
     """Vectors on both sides of a split and the test rows they touch."""
     s = F.col(split)
-    per = df.groupBy(*features).agg(side(s, "train").alias("a"), side(s, "test").alias("b"))
-    return _report(per, overlap_columns("a", "b"))
+    per = df.groupBy(*features).agg(side(s, "train").alias("_a"), side(s, "test").alias("_b"))
+    return _report(per, overlap_columns("_a", "_b"))
 
 
 def entity_overlap(df: DataFrame, entity: str, split: str = "split") -> DataFrame:
     """The same on one entity column. Rows without an entity count in the denominator only."""
     s = F.col(split)
-    per = df.groupBy(entity).agg(side(s, "train").alias("a"), side(s, "test").alias("b"))
+    per = df.groupBy(entity).agg(side(s, "train").alias("_a"), side(s, "test").alias("_b"))
     known = F.col(entity).isNotNull()
-    train, test = known & (F.col("a") > 0), known & (F.col("b") > 0)
-    n_test = F.coalesce(F.sum("b"), F.lit(0))
-    leaked = F.coalesce(F.sum(F.when(train & test, F.col("b"))), F.lit(0))
+    train, test = known & (F.col("_a") > 0), known & (F.col("_b") > 0)
+    n_test = F.coalesce(F.sum("_b"), F.lit(0))
+    leaked = F.coalesce(F.sum(F.when(train & test, F.col("_b"))), F.lit(0))
     return per.agg(
         F.count(F.when(train, 1)).alias("distinct_entities_train"),
         F.count(F.when(test, 1)).alias("distinct_entities_test"),

@@ -195,7 +195,8 @@ class AutoencoderFit(_Column, Estimator):
     """n - hidden - latent - hidden reversed - n with ReLU hidden layers and linear output.
 
     ``key`` names the row identity that decides sample, validation rows and partitions.
-    ``maxRows`` 0 uses all rows. ``rowsPerTask`` sets the rows one partition trains on.
+    ``maxRows`` 0 uses all rows. ``rowsPerTask`` sets the rows one partition trains on, until
+    there are twice as many partitions as cores; larger partitions stream in Arrow batches.
     """
 
     key = Param(Params._dummy(), "key", "row identity", TypeConverters.toListString)
@@ -232,7 +233,8 @@ class AutoencoderFit(_Column, Estimator):
         rows = validation_tail(rows, key, v("valid"), seed=seed, out="held")
         order = HashOrder(tuple(key), (), f"{seed}:tail").digest(rows)
         shape = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
-        tasks = max(1, math.ceil(shape["n"] / v("rowsPerTask")))
+        most = max(256, 2 * df.sparkSession.sparkContext.defaultParallelism)
+        tasks = min(max(1, math.ceil(shape["n"] / v("rowsPerTask"))), most)
         hashed = rows.withColumn("h", order)
         data = hashed.repartition(tasks, "h").sortWithinPartitions("h").select("x", "held").persist()
         hidden, width = v("hidden"), shape["d"]

@@ -69,7 +69,7 @@ class BlockModel:
 
         if self.strata is None:
             return position(None)
-        out = None
+        out = F.lit(0) if not self.ranks else None  # no stratum: the table was empty
         for value in self.ranks:
             test = F.col(self.strata).eqNullSafe(F.lit(value))
             out = F.when(test, position(value)) if out is None else out.when(test, position(value))
@@ -110,6 +110,8 @@ def fit_blocks(
     digits = PREFIX
     hist = histogram(rows, digits)
     counts = {s: sum(h.values()) for s, h in sorted(hist.items(), key=lambda kv: str(kv[0]))}
+    if strata is None and not counts:
+        counts = {None: 0}
     ranks = ranks_for(counts)
     targets = []  # (stratum, position in the rank list, digest prefix, rank inside it)
     for s, wanted in ranks.items():
@@ -220,7 +222,7 @@ def sample_uniform(
 ) -> DataFrame:
     """Keep exactly ``min(n, rows)`` rows."""
     order = HashOrder(tuple(key), tuple(ties), str(seed))
-    return fit_blocks(df, order, lambda c: {None: [n]} if c else {}).head(df)
+    return fit_blocks(df, order, lambda c: {None: [n]}).head(df)
 
 
 # ---------------------------------------------------------------- splits
@@ -268,7 +270,7 @@ def fit_stratified_folds(
             ends[c] = [sum(sizes[: i + 1]) for i in range(k - 1)]
         return ends
 
-    return fit_blocks(df, HashOrder(tuple(key), tuple(ties), str(seed)), ranks, label)
+    return fit_blocks(df, HashOrder(tuple(key), tuple(ties), f"{seed}:folds"), ranks, label)
 
 
 def stratified_folds(

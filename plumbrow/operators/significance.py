@@ -56,7 +56,7 @@ def paired_statistics(
 
 
 def paired_tests(metrics: DataFrame, a: str, b: str, **columns) -> DataFrame:
-    """Paired statistics with two-sided p-values; the signed-rank p is NaN where undefined.
+    """Paired statistics with two-sided p-values; a p-value is NaN where undefined.
 
     The ranks of one record are as many as there are folds.
     """
@@ -70,9 +70,10 @@ def paired_tests(metrics: DataFrame, a: str, b: str, **columns) -> DataFrame:
     def w_p(w: pd.Series, ranks: pd.Series) -> pd.Series:
         return pd.Series([two_sided_signed_rank(x, list(r)) for x, r in zip(w, ranks)], dtype="float64")
 
+    undefined = F.lit(math.nan)  # Arrow returns NaN as NULL
     return (
-        stats.withColumn("t_p", t_p("t", "folds"))
-        .withColumn("wilcoxon_p", w_p(F.least("w_plus", "w_minus"), "ranks"))
+        stats.withColumn("t_p", F.coalesce(t_p("t", "folds"), undefined))
+        .withColumn("wilcoxon_p", F.coalesce(w_p(F.least("w_plus", "w_minus"), "ranks"), undefined))
         .drop("ranks")
     )
 

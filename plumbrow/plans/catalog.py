@@ -13,6 +13,7 @@ from plumbrow.sources import files, manifest, sinks
 from plumbrow.sources.views import (
     LI4_FEATURES, LI_FEATURES, LI_KEY, LI_TIES, documents, embeddings, events, lineitem, table,
 )
+from plumbrow.streaming.ingest import ingest_chunks, read_chunks, stream_files
 
 FEATURE_SETS = {
     "q": LI_FEATURES[:1],
@@ -551,6 +552,23 @@ def csv_labelled_ingest(spark, sf):
     )
 
 
+def chunked_ingest(spark, sf):
+    """Stream the events in, keep a tenth of the benign rows of every chunk, and count the store."""
+    out = scratch_path(spark, "chunks")
+    stream = stream_files(spark, sf, table(spark, sf, "events").schema, "parquet", "events.parquet")
+    is_error = (F.col("event_type") == "error").cast("int")
+    ingest_chunks(stream, F.col("path").isNotNull(), is_error, out, {0: 0.1}, ["event_id"])
+    return read_chunks(spark, out).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def stored_assignment(spark, sf):
+    """Split and fold assignment written as a table and read back."""
+    ev = sampling.stratified_folds(_ev_split(spark, sf), "label", ["event_id"])
+    path = scratch_path(spark, "assignment")
+    sinks.write_assignment(ev, ["event_id"], ["split", "fold"], path)
+    return spark.read.parquet(path).groupBy("split", "fold").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     "drop_leaky_columns": drop_leaky_columns,
     "numeric_columns": numeric_columns,
@@ -643,4 +661,6 @@ QUERIES = {
     "dataset_manifest_full": dataset_manifest_full,
     "file_manifest": file_manifest,
     "csv_labelled_ingest": csv_labelled_ingest,
+    "chunked_ingest": chunked_ingest,
+    "stored_assignment": stored_assignment,
 }

@@ -232,7 +232,7 @@ FOLDS = """{name}_cls AS (
 
 
 def folds(source: str, key: str, ties: str = "", name: str = "fd") -> str:
-    return FOLDS.format(source=source, name=name, hash=hashed(key), ties=f", {ties}" if ties else "")
+    return FOLDS.format(source=source, name=name, hash=hashed(key, "42:folds"), ties=f", {ties}" if ties else "")
 
 
 def fold_lookup(features: str, config: str) -> str:
@@ -484,4 +484,8 @@ ORACLE = {
         FROM ev""",
     "csv_labelled_ingest": f"""WITH {LI} SELECT label, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys,
         round_even(sum(l_extendedprice), 2) AS price FROM li GROUP BY label""",
+    "chunked_ingest": f"""WITH {EV} SELECT label, CASE label WHEN 0 THEN CAST(round_even(0.1::DOUBLE * count(*), 0) AS BIGINT)
+        ELSE count(*) END AS n FROM ev GROUP BY label""",
+    "stored_assignment": f"""WITH {EV}, {EV_SPLIT}, {folds('ev', 'event_id')}
+        SELECT split, fold, count(*) AS n FROM sp JOIN fd USING (event_id) GROUP BY split, fold""",
 }

@@ -125,8 +125,9 @@ def run_parallel(tasks: Sequence[Callable[[], DataFrame]], parallelism: int) ->
         except Exception as error:  # one configuration must not end the comparison
             return error
 
+    run = inheritable_thread_target(SparkSession.getActiveSession())(guarded)
     with ThreadPoolExecutor(max_workers=max(parallelism, 1)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(guarded), t) for t in tasks]]
+        return [f.result() for f in [pool.submit(run, t) for t in tasks]]
 
 
 def compare(entries: Sequence[Entry], parallelism: int = 2, isolate: bool = False) -> DataFrame:

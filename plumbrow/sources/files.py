@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from plumbrow.functions.columns import base_name, contains_any, has_suffix, is_number, path_component
 from plumbrow.operators.clean import LEAKY_COLUMNS, label_from_name
+from plumbrow.session import settle
 
 # Names of the files and folders that carry the label.
 HEAVY_NAME_PARTS = ("stateful", "heavy")
@@ -149,3 +150,8 @@ def file_manifest(
     base = root.rstrip("/").split(":")[-1].lstrip("/")
     relative = F.regexp_replace(F.substring_index("path", base + "/", -1), "^/+", "")
     return out.select(relative.alias("file"), "bytes", "sha256").orderBy("file")
+
+
+def number_rows(df: DataFrame, out: str = "row_key") -> DataFrame:
+    """Give rows without an identity a number and store them, so that it never changes."""
+    return settle(df.withColumn(out, F.monotonically_increasing_id()))
