@@ -15,7 +15,7 @@ from plumbrow.operators.transforms import assemble
 from plumbrow.plans import study
 from plumbrow.plans.catalog import QUERIES
 from plumbrow.plans.catalog_models import MODEL_QUERIES
-from plumbrow.session import local_session
+from plumbrow.session import local_session, settle
 from plumbrow.sources.views import LI4_FEATURES, LI_KEY, lineitem
 
 HEADLINE = [
@@ -30,8 +30,9 @@ HEADLINE = [
 def search_trial(spark, sf: str):
     """One search trial at the published size: a 110,000-row development set, split 75/25."""
     li = assemble(lineitem(spark, sf), [*LI4_FEATURES, "l_extendedprice"], "f")
-    dev = sampling.dev_split(li, "label", [*LI_KEY, "l_extendedprice"])
-    return study.random_search(dev, "f", [*LI_KEY, "l_extendedprice"], trials=1)
+    key = [*LI_KEY, "l_extendedprice"]
+    dev = settle(sampling.dev_split(li, "label", key).repartition(*key))
+    return study.random_search(dev, "f", key, trials=1)
 
 
 def main() -> None:

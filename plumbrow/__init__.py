@@ -1 +1,9 @@
 """Labelled-table audit, splitting, encoding and evaluation on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so that a job needs no copy of
+# the package on the worker machines.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,8 +2,8 @@
 
 The standardised rows stay cached and partitioned on the executors. In an epoch every
 partition starts from the current weights, runs mini-batch Adam over its own rows and emits
-its weights and moments times its rows; Spark sums them position by position and the driver
-receives one averaged vector of the size of the network. Validation rows are flagged by hash
+its weights and moments times its rows as one vector; Spark sums the vectors and the driver
+receives one of them, three times the size of the network. Validation rows are flagged by hash
 and score the incoming weights in the same job.
 """
 
@@ -14,11 +14,14 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Model
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
+from plumbrow.functions.batches import map_rows, to_lists, to_matrix
 from plumbrow.operators.sampling import HashOrder, sample_uniform, validation_tail
 from plumbrow.operators.transforms import _Column, _floats
 
@@ -103,19 +106,19 @@ class AdamState:
 
 
 def _epoch(net: Network, state: AdamState, epoch: int, seed: int, batch: int, rate: float, train: bool):
-    """Function of one partition: its weighted parameters and its validation loss.
+    """Function of one partition: one vector of its parameters times its training rows.
 
-    Rows beyond the parameters: -1 training rows, -2 validation loss, -3 validation rows.
+    Three more values close the vector: training rows, validation loss, validation rows.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng([seed, epoch])
         local = AdamState(state.weights.copy(), state.first.copy(), state.second.copy(), state.steps)
         rows, loss, valid = 0, 0.0, 0
-        for frame in batches:
-            if len(frame) == 0:
+        for part in batches:
+            if part.num_rows == 0:
                 continue
-            x, held = np.stack(frame["x"].to_numpy()), frame["held"].to_numpy() == 1
+            x, held = to_matrix(part.column("x")), part.column("held").to_numpy() == 1
             if held.any():
                 loss += net.loss_sum(state.weights, x[held])
                 valid += int(held.sum())
@@ -123,16 +126,12 @@ def _epoch(net: Network, state: AdamState, epoch: int, seed: int, batch: int, ra
                 continue
             x = x[~held][rng.permutation(int((~held).sum()))]
             for at in range(0, len(x), batch):
-                part = x[at:at + batch]
-                local.advance(net.gradient(local.weights, part, rng if net.dropout else None), rate)
+                step = x[at:at + batch]
+                local.advance(net.gradient(local.weights, step, rng if net.dropout else None), rate)
             rows += len(x)
-        tail = [rows, loss, valid]
-        if rows:
-            flat = np.concatenate([local.weights, local.first, local.second, [local.steps]]) * rows
-            tail = np.concatenate([flat, tail])
-        size = len(tail) - 3
-        position = np.concatenate([np.arange(size), [-1, -2, -3]])
-        yield pd.DataFrame({"pos": position, "value": np.asarray(tail, dtype=float)})
+        flat = np.concatenate([local.weights, local.first, local.second, [local.steps]]) * rows
+        whole = np.concatenate([flat, [rows, loss, valid]])
+        yield pa.RecordBatch.from_arrays([to_lists(whole[None, :])], ["v"])
 
     return run
 
@@ -147,16 +146,15 @@ def fit_network(
     state = AdamState(net.start(seed), np.zeros(net.size), np.zeros(net.size))
     best, best_loss, waited, losses = state.weights, math.inf, 0, []
 
-    def job(epoch: int, train: bool) -> dict[int, float]:
+    def job(epoch: int, train: bool) -> np.ndarray:
         run = _epoch(net, state, epoch, seed, batch, rate, train)
-        sums = data.mapInPandas(run, "pos int, value double").groupBy("pos").agg(F.sum("value").alias("value"))
-        frame = sums.toPandas()
-        return dict(zip(frame["pos"], frame["value"]))
+        vectors = data.mapInArrow(run, "v array<double>").select(array_to_vector("v").alias("v"))
+        return vectors.agg(Summarizer.sum(F.col("v")).alias("v")).first()["v"].toArray()
 
     for epoch in range(epochs + 1):
-        got = job(epoch, train=epoch < epochs)
+        *total, rows, loss, valid = job(epoch, train=epoch < epochs)
         if epoch > 0:  # the job scored the weights of the epoch before
-            loss = got[-2] / got[-3] if got.get(-3) else math.nan
+            loss = loss / valid if valid else math.nan
             losses.append(loss)
             if math.isnan(loss) or loss < best_loss:
                 best, best_loss, waited = state.weights, loss, 0
@@ -164,9 +162,9 @@ def fit_network(
                 waited += 1
                 if waited >= patience:
                     break
-        if epoch == epochs or not got.get(-1):
+        if epoch == epochs or not rows:
             break
-        flat = np.array([got[i] for i in range(3 * net.size + 1)]) / got[-1]
+        flat = np.array(total) / rows
         state = AdamState(*np.split(flat[:-1], 3), flat[-1])
     return best, losses
 
@@ -183,12 +181,8 @@ class EncoderModel(_Column, Model):
         net = Network(tuple(self._value("widths")), tuple(self._value("activations")))
         flat = np.array(self._value("weights"))
 
-        @F.pandas_udf("array<double>")
-        def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for z in batches:
-                yield pd.Series(list(net.forward(flat, np.stack(z.to_numpy()))[-1]) if len(z) else [], dtype=object)
-
-        return df.withColumn(self.getOutputCol(), encode(self._source()))
+        encoded = map_rows(self._source(), lambda x: net.forward(flat, x)[-1])
+        return df.withColumn(self.getOutputCol(), encoded)
 
 
 class AutoencoderFit(_Column, Estimator):

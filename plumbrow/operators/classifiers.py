@@ -27,7 +27,7 @@ DEEPEST = 30  # Spark's limit for tree depth
 def _forest(s: dict[str, Any]):
     return RandomForestClassifier(
         numTrees=s.get("trees", 200), maxDepth=s.get("depth", DEEPEST), maxBins=s.get("bins", 64),
-        featureSubsetStrategy="sqrt", maxMemoryInMB=512, cacheNodeIds=True, checkpointInterval=10, seed=s["seed"],
+        featureSubsetStrategy="sqrt", maxMemoryInMB=256, cacheNodeIds=True, checkpointInterval=10, seed=s["seed"],
     )
 
 

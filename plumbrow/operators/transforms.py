@@ -7,10 +7,9 @@ models are plain column expressions and apply unchanged to batch and streaming t
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -18,6 +17,7 @@ from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbrow.functions.batches import map_rows
 from plumbrow.functions.columns import clip, double_array
 
 
@@ -178,15 +178,8 @@ class FourierFeaturesModel(_Column, Model):
         b = np.array(self._value("offsets"))
         w = np.array(self._value("weights")).reshape(-1, len(b))
 
-        @F.pandas_udf("array<double>")
-        def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for z in batches:
-                if len(z) == 0:
-                    yield pd.Series([], dtype=object)
-                    continue
-                yield pd.Series(list(math.sqrt(2.0 / len(b)) * np.cos(np.stack(z.to_numpy()) @ w + b)))
-
-        return df.withColumn(self.getOutputCol(), project(self._source()))
+        scale = math.sqrt(2.0 / len(b))
+        return df.withColumn(self.getOutputCol(), map_rows(self._source(), lambda x: scale * np.cos(x @ w + b)))
 
 
 class FourierFeatures(_Column, Estimator):
@@ -246,12 +239,7 @@ class LinearMapModel(_Column, Model):
     def _transform(self, df: DataFrame) -> DataFrame:
         w = np.array(self._value("weights")).reshape(-1, self._value("width"))
 
-        @F.pandas_udf("array<double>")
-        def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for z in batches:
-                yield pd.Series(list(np.stack(z.to_numpy()) @ w) if len(z) else [], dtype=object)
-
-        return df.withColumn(self.getOutputCol(), apply(self._source()))
+        return df.withColumn(self.getOutputCol(), map_rows(self._source(), lambda x: x @ w))
 
 
 def center_distances(z: Column, centers: Sequence[Sequence[float]]) -> Column:

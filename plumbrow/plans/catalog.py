@@ -498,7 +498,7 @@ def paired_tests(spark, sf):
 
 
 def confidence_intervals(spark, sf):
-    return significance.confidence_intervals(_fold_metrics(spark, sf))
+    return _rounded(significance.confidence_intervals(_fold_metrics(spark, sf)))
 
 
 def leaderboard(spark, sf):

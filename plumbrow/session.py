@@ -9,8 +9,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
-    """A single-machine session for tests and benchmarks; clusters bring their own."""
+def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "20g") -> SparkSession:
+    """A single-machine session for tests and benchmarks; clusters bring their own.
+
+    Array libraries in the Python workers get one thread each: Spark runs a worker per core.
+    """
+    os.environ.setdefault("OMP_NUM_THREADS", "1")
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("plumbrow")
