@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -112,7 +113,7 @@ def _epoch(net: Network, state: AdamState, epoch: int, seed: int, batch: int, ra
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng([seed, epoch])
+        rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
         local = AdamState(state.weights.copy(), state.first.copy(), state.second.copy(), state.steps)
         rows, loss, valid = 0, 0.0, 0
         for part in batches:

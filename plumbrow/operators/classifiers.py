@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbrow.operators.clean import fit_balance, positive_weight, with_weight
 from plumbrow.operators.transforms import FourierFeatures, as_vector, center_distances, nearest_one_hot
+from plumbrow.session import settle
 
 DEEPEST = 30  # Spark's limit for tree depth
 
@@ -74,7 +75,7 @@ class Classifier:
         return replace(self, settings={**self.settings, **changes})
 
     def fit(self, train: DataFrame, column: str, label: str = "label") -> "FittedClassifier":
-        """Fit on one array column. The training rows keep only what the family reads."""
+        """Fit on one array column. Fits read the rows several times: pass a stored table."""
         rows = train.select(label, F.col(column).cast("array<double>").alias("f"))
         lift = None
         settings = {**self.settings, "seed": self.seed}
@@ -82,7 +83,7 @@ class Classifier:
             lift = FourierFeatures(
                 "f", "f", gamma=settings.get("gamma", "scale"), dims=settings.get("dims", 256), seed=self.seed
             ).fit(rows)
-            rows = lift.transform(rows)
+            rows = settle(lift.transform(rows))
             settings["rows"] = max(rows.count(), 1)
         if self.family == "perceptron":
             settings["width"] = len(rows.select("f").first()["f"])

@@ -17,6 +17,7 @@ from plumbrow.functions.columns import ratio
 from plumbrow.session import settle
 
 BUCKETS = 1024
+DIRECT_SCORES = 200_000  # distinct scores that one window may hold
 THRESHOLDS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 
 
@@ -115,20 +116,38 @@ def calibration(counts: DataFrame, by: Sequence[str] = ("config",)) -> DataFrame
     )
 
 
-def ranking_metrics(counts: DataFrame, by: Sequence[str] = ("config",), buckets: int = BUCKETS) -> DataFrame:
+def ranking_metrics(
+    counts: DataFrame, by: Sequence[str] = ("config",), buckets: int = BUCKETS, direct: int = DIRECT_SCORES,
+) -> DataFrame:
     """ROC-AUC (ties half counted) and average precision (step sum).
 
-    The running counts over descending scores are two-level. Scores are cut into value
-    buckets at sketched quantiles; a window over the bucket totals gives the counts above a
-    bucket, and windows inside the buckets do the rest, so no task sorts all scores. Bucket
-    bounds are literals: a task that runs again sees the same buckets. The distinct scores
-    are stored once, so the scoring behind them runs once.
+    The distinct scores are stored once, so the scoring behind them runs once. Up to
+    ``direct`` of them, one window per configuration gives the running counts. Beyond that
+    the running counts are two-level: scores are cut into value buckets at sketched
+    quantiles, a window over the bucket totals gives the counts above a bucket, and windows
+    inside the buckets do the rest, so no task sorts all scores. Bucket bounds are literals:
+    a task that runs again sees the same buckets.
     """
     scores = settle(
         counts.groupBy(*by, "score").agg(
             F.sum("pos").cast("double").alias("pos"), F.sum("neg").cast("double").alias("neg")
         )
     )
+    running = _running(scores, by) if scores.count() <= direct else _running_in_buckets(scores, by, buckets)
+    pos, neg, ctp, cfp = (F.col(c) for c in ("pos", "neg", "ctp", "cfp"))
+    return running.groupBy(*by).agg(
+        ratio(F.sum(neg * (ctp - pos / 2)), F.sum(pos) * F.sum(neg), None).alias("auc_roc"),
+        ratio(F.sum(pos * ctp / (ctp + cfp)), F.sum(pos), None).alias("pr_auc"),
+    )
+
+
+def _running(scores: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Positives ``ctp`` and negatives ``cfp`` at or above each score."""
+    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    return scores.withColumn("ctp", F.sum("pos").over(down)).withColumn("cfp", F.sum("neg").over(down))
+
+
+def _running_in_buckets(scores: DataFrame, by: Sequence[str], buckets: int) -> DataFrame:
     marks = [i / buckets for i in range(1, buckets)]
     bounds = sorted(set(scores.approxQuantile("score", marks, 0.25 / buckets)))
     inf = float("inf")
@@ -145,16 +164,11 @@ def ranking_metrics(counts: DataFrame, by: Sequence[str] = ("config",), buckets:
         .withColumn("above_neg", F.coalesce(F.sum("bn").over(higher), F.lit(0.0)))
         .drop("bp", "bn")
     )
-    inside = Window.partitionBy(*by, "bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    running = (
-        scores.join(above, on=[*by, "bucket"])
-        .withColumn("ctp", F.col("above_pos") + F.sum("pos").over(inside))
-        .withColumn("cfp", F.col("above_neg") + F.sum("neg").over(inside))
-    )
-    pos, neg, ctp, cfp = (F.col(c) for c in ("pos", "neg", "ctp", "cfp"))
-    return running.groupBy(*by).agg(
-        ratio(F.sum(neg * (ctp - pos / 2)), F.sum(pos) * F.sum(neg), None).alias("auc_roc"),
-        ratio(F.sum(pos * ctp / (ctp + cfp)), F.sum(pos), None).alias("pr_auc"),
+    inside = _running(scores, [*by, "bucket"])
+    return (
+        inside.join(above, on=[*by, "bucket"])
+        .withColumn("ctp", F.col("above_pos") + F.col("ctp"))
+        .withColumn("cfp", F.col("above_neg") + F.col("cfp"))
     )
 
 

@@ -542,7 +542,7 @@ def csv_labelled_ingest(spark, sf):
     for folder, value in (("Attacks/day1", 1), ("Benign/day1", 0)):
         sinks.write_table(li.filter(F.col("label") == value).drop("label"), f"{root}/{folder}", "csv")
     back = files.read_labelled(
-        spark, root, ~F.col("path").contains("_temporary"),
+        spark, root, F.col("path").isNotNull(),
         C.path_component(F.col("path"), files.ATTACK_FOLDER).cast("int"), li.drop("label").schema,
     )
     return _rounded(

@@ -8,7 +8,7 @@ import time
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
-from plumbrow.operators import metrics, ranking, sampling, significance, transforms
+from plumbrow.operators import ranking, sampling, significance, transforms
 from plumbrow.operators.classifiers import (
     CONFIGURATIONS, Classifier, best_kmeans, cluster_columns, margin_to_probability,
 )
@@ -38,23 +38,22 @@ def _scores(name: str, **settings):
     """Scored test rows of one study configuration on the standardised embeddings."""
 
     def run(spark, sf):
-        emb = _emb(spark, sf)
-        train, test = study.sides(emb)
+        train, test = study.sides(_emb(spark, sf))
         scaler = transforms.Standardize("z", "x").fit(train)
-        fitted = CONFIGURATIONS[name].with_settings(**settings).fit(scaler.transform(train), "x")
+        fitted = CONFIGURATIONS[name].with_settings(**settings).fit(settle(scaler.transform(train)), "x")
         return fitted.score(scaler.transform(test)).select("vec_id", "label", "score", "pred")
 
     return run
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """One shuffle by the unique row key, so that every pass of a fit uses all tasks evenly."""
-    return df.repartition(*LI_KEY, *LI_TIES)
+    """One shuffle by the unique row key into a stored table, so that every pass of a fit is even."""
+    return settle(df.repartition(*LI_KEY, *LI_TIES))
 
 
 def lineitem_forest_metrics(spark, sf):
-    li = transforms.assemble(_spread(lineitem(spark, sf)), [*LI4_FEATURES, "l_extendedprice"], "f")
-    train, test = study.sides(sampling.stratified_split(li, "label", LI_KEY, ties=LI_TIES))
+    li = transforms.assemble(lineitem(spark, sf), [*LI4_FEATURES, "l_extendedprice"], "f")
+    train, test = study.sides(_spread(sampling.stratified_split(li, "label", LI_KEY, ties=LI_TIES)))
     forest = Classifier("forest", {"trees": 20, "depth": 8}, "balanced")
     return study.compare([study.Entry("forest", train, test, "f", forest)]).drop("train_seconds")
 
@@ -144,18 +143,18 @@ def margin_grid(spark, sf):
     return study.margin_grid(_encoded(spark, sf), KEY, base=SMALL_SVM)
 
 
-def _trials(spark, sf) -> DataFrame:
+def _trials(spark, sf, trials: int) -> DataFrame:
     train = _emb(spark, sf).filter("split = 'train'").drop("split")
     dev = sampling.dev_split(train, "label", KEY)
-    return study.random_search(dev, "z", KEY, trials=2, epochs=3)
+    return study.random_search(dev, "z", KEY, trials=trials, epochs=3)
 
 
 def random_search(spark, sf):
-    return ranking.trial_listing(_trials(spark, sf)).drop("duration")
+    return ranking.trial_listing(_trials(spark, sf, 2)).drop("duration")
 
 
 def search_refit(spark, sf):
-    return study.refit_best(_emb(spark, sf), "z", KEY, _trials(spark, sf), epochs=3)
+    return study.refit_best(_emb(spark, sf), "z", KEY, _trials(spark, sf, 1), epochs=3)
 
 
 def impurity_importance(spark, sf):
@@ -196,15 +195,12 @@ def stored_pipeline(spark, sf):
 
 
 def evaluated_audit(spark, sf):
-    """The audit with the forest fitted again under both splits."""
-    li = transforms.assemble(lineitem(spark, sf), LI4_FEATURES, "f")
-    forest = Classifier("forest", {"trees": 10, "depth": 8}, "balanced")
-
-    def evaluate(rows: DataFrame) -> DataFrame:
-        train, test = study.sides(_spread(rows))
-        counts = study.scored_entry(study.Entry("forest", train, test, "f", forest))
-        return metrics.full_metrics(counts.select("config", "score", "pred", "pos", "neg")).drop("config", "pr_auc")
-
+    """The audit with scaling, autoencoder, angles and forest fitted again under both splits."""
+    li = _spread(transforms.assemble(lineitem(spark, sf), LI4_FEATURES, "f"))
+    evaluate = study.audit_evaluator(
+        "f", [*LI_KEY, *LI_TIES], study.Latent(width=4, activation="tanh", batch=512, epochs=3),
+        Classifier("forest", {"trees": 10, "depth": 8}, "balanced"),
+    )
     report = leakage_audit(li, "label", LI4_FEATURES, LI_KEY, LI_TIES, entity="l_suppkey", evaluate=evaluate)
     path = scratch_path(spark, "report")
     sinks.write_report(report, path)

@@ -130,7 +130,7 @@ def run_parallel(tasks: Sequence[Callable[[], DataFrame]], parallelism: int) ->
         return [f.result() for f in [pool.submit(run, t) for t in tasks]]
 
 
-def compare(entries: Sequence[Entry], parallelism: int = 2, isolate: bool = False) -> DataFrame:
+def compare(entries: Sequence[Entry], parallelism: int = 4, isolate: bool = False) -> DataFrame:
     """Metrics by configuration. With ``isolate`` a failed entry becomes a row with its error."""
     results = run_parallel([lambda e=e: settle(scored_entry(e)) for e in entries], parallelism)
     errors = [(e.config, str(r)[:200]) for e, r in zip(entries, results) if isinstance(r, Exception)]
@@ -166,27 +166,27 @@ def representations(encoded: DataFrame, seed: int = 42) -> list[tuple[str, DataF
     ]
 
 
-def compare_representations(encoded: DataFrame, classifier: Classifier | None = None, parallelism: int = 2) -> DataFrame:
+def compare_representations(encoded: DataFrame, classifier: Classifier | None = None, parallelism: int = 4) -> DataFrame:
     """Nine mappings of one latent under the same classifier."""
     classifier = classifier or CONFIGURATIONS["RandomForest"]
     return compare([Entry(n, *sides(t), c, classifier) for n, t, c in representations(encoded)], parallelism)
 
 
-def ablation(encoded: DataFrame, classifier: Classifier | None = None, parallelism: int = 2) -> DataFrame:
+def ablation(encoded: DataFrame, classifier: Classifier | None = None, parallelism: int = 4) -> DataFrame:
     """Raw, latent and encoded features under one classifier."""
     classifier = classifier or CONFIGURATIONS["svm"]
     names = (("raw", "x"), ("latent", "z"), ("encoded", "e"))
     return compare([Entry(n, *sides(encoded), c, classifier) for n, c in names], parallelism)
 
 
-def baselines(encoded: DataFrame, classifiers: dict[str, Classifier] | None = None, parallelism: int = 2) -> DataFrame:
+def baselines(encoded: DataFrame, classifiers: dict[str, Classifier] | None = None, parallelism: int = 4) -> DataFrame:
     """Forest, boosting and perceptron on the standardised features of the same split."""
     names = ("random_forest_ablation", "gradient_boosting", "mlp")
     classifiers = classifiers or {n: CONFIGURATIONS[n] for n in names}
     return compare([Entry(n, *sides(encoded), "x", c) for n, c in classifiers.items()], parallelism)
 
 
-def tournament(encoded: DataFrame, classifiers: dict[str, Classifier] | None = None, parallelism: int = 2) -> DataFrame:
+def tournament(encoded: DataFrame, classifiers: dict[str, Classifier] | None = None, parallelism: int = 4) -> DataFrame:
     """Every family on raw and on encoded features, ranked by attack F1; errors stay in their row."""
     from plumbrow.operators.ranking import leaderboard
 
@@ -200,7 +200,7 @@ def tournament(encoded: DataFrame, classifiers: dict[str, Classifier] | None = N
 
 def cross_validate(
     df: DataFrame, features: str, key: Sequence[str], latent: Latent, classifier: Classifier | None = None,
-    k: int = 5, columns: dict[str, str] | None = None, fold: str = "fold", parallelism: int = 2,
+    k: int = 5, columns: dict[str, str] | None = None, fold: str = "fold", parallelism: int = 4,
 ) -> DataFrame:
     """Metrics by configuration and fold; every stage is fitted again for every fold."""
     classifier = classifier or CONFIGURATIONS["svm"]
@@ -221,7 +221,7 @@ def cross_validate(
 
 
 def cluster_study(
-    encoded: DataFrame, classifier: Classifier | None = None, starts: int = 10, parallelism: int = 2,
+    encoded: DataFrame, classifier: Classifier | None = None, starts: int = 10, parallelism: int = 4,
 ) -> DataFrame:
     """Angles alone, with standardised cluster distances, and with the one-hot cluster."""
     classifier = classifier or CONFIGURATIONS["svm"]
@@ -235,12 +235,34 @@ def cluster_study(
     return report.withColumn("delta_accuracy", F.col("accuracy") - F.lit(base))
 
 
+def audit_evaluator(
+    features: str, key: Sequence[str], latent: Latent | None = None, classifier: Classifier | None = None,
+) -> Callable[[DataFrame], DataFrame]:
+    """Function for the leakage audit: the whole pipeline refitted on the training side of a split.
+
+    Without ``latent`` the wide autoencoder serves more than 50 features, else a narrow one.
+    """
+    classifier = classifier or CONFIGURATIONS["RandomForest"]
+
+    def evaluate(df: DataFrame) -> DataFrame:
+        chosen = latent
+        if chosen is None:
+            wide = df.select(F.size(features).alias("d")).first()["d"] > 50
+            chosen = WIDE_LATENT if wide else replace(WIDE_LATENT, width=16)
+        train, test = sides(encode_sides(df, features, key, chosen))
+        counts = scored_entry(Entry("pipeline", train, test, "e", classifier))
+        report = metrics.full_metrics(counts.select("config", "score", "pred", "pos", "neg"))
+        return report.drop("config", "pr_auc")
+
+    return evaluate
+
+
 # ---------------------------------------------------------------- grids and search
 
 
 def architecture_grid(
     df: DataFrame, features: str, key: Sequence[str], latents: Sequence[Latent], classifier: Classifier,
-    fit_rows: int = 15_000, parallelism: int = 2, seed: int = 42,
+    fit_rows: int = 15_000, parallelism: int = 4, seed: int = 42,
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Latent width times activation; the classifier is fitted on a subsample of the training side.
 
@@ -258,7 +280,7 @@ def architecture_grid(
 
 def margin_grid(
     encoded: DataFrame, key: Sequence[str], cs: Sequence[float] = (1, 10, 100),
-    gammas: Sequence[str | float] = ("scale", 0.01, 0.1), fit_rows: int = 15_000, parallelism: int = 2,
+    gammas: Sequence[str | float] = ("scale", 0.01, 0.1), fit_rows: int = 15_000, parallelism: int = 4,
     base: Classifier | None = None, seed: int = 42,
 ) -> DataFrame:
     """C times gamma of the margin classifier on a subsample, balanced classes."""

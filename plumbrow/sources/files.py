@@ -43,10 +43,45 @@ def infer_numeric_schema(
     return T.StructType([T.StructField(f.name, T.DoubleType()) for f in keep])
 
 
-def labelled_files(spark: SparkSession, root: str, keep: Column, label: Column) -> DataFrame:
-    """Paths below ``root`` that pass ``keep``, with their label. File contents are not read."""
+def _files(spark: SparkSession, root: str, keep: Column, suffix: str) -> DataFrame:
+    """Paths below ``root`` that pass ``keep``. File contents are not read."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return listing.select("path").filter(keep).withColumn("label", label)
+    return listing.select("path").filter(keep & F.col("path").endswith(suffix))
+
+
+def _open(path: str):
+    """A byte stream on the file system a path belongs to."""
+    from pyarrow import fs
+
+    uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+    system, inner = fs.FileSystem.from_uri(uri)
+    return system.open_input_stream(inner)
+
+
+def files_by_header(spark: SparkSession, root: str, keep: Column, suffix: str = ".csv") -> dict[str, list[str]]:
+    """Matching files grouped by their first line; only the first lines are read.
+
+    The driver receives file names, as it does for any file scan.
+    """
+
+    def first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lines = []
+            for path in batch["path"]:
+                with _open(path) as stream:
+                    line = b""
+                    while b"\n" not in line and (more := stream.read(1 << 16)):
+                        line += more
+                lines.append(line.split(b"\n")[0].decode().rstrip("\r"))
+            yield batch.assign(header=lines)
+
+    found = _files(spark, root, keep, suffix).mapInPandas(first_lines, "path string, header string")
+    groups: dict[str, list[str]] = {}
+    for r in found.orderBy("path").collect():
+        groups.setdefault(r["header"], []).append(r["path"])
+    if not groups:
+        raise ValueError(f"no matching files below {root}")
+    return groups
 
 
 def read_labelled(
@@ -55,32 +90,25 @@ def read_labelled(
 ) -> DataFrame:
     """All CSV files below ``root`` whose path passes ``keep``, labelled by their path.
 
-    ``keep`` and ``label`` are expressions over a ``path`` column.
+    ``keep`` and ``label`` are expressions over a ``path`` column. Columns are matched by
+    name: files are read header by header and united, absent columns are NULL. With a
+    ``schema`` only its columns are read and every file must have them.
     """
-    reader = spark.read.options(**NUMBER_TEXT, recursiveFileLookup="true", pathGlobFilter=f"*{suffix}")
-    if schema is None:
-        chosen = [r["path"] for r in labelled_files(spark, root, keep & F.col("path").endswith(suffix), label).collect()]
-        if not chosen:
-            raise ValueError(f"no matching files below {root}")
-        reader = reader.schema(read_csv_table(spark, chosen).schema)
-    else:
-        full = read_header(spark, root, keep, suffix)
-        by_name = {f.name: f for f in schema}
-        reader = reader.schema(T.StructType([by_name.get(c, T.StructField(c, T.StringType())) for c in full]))
-    rows = reader.csv(root).withColumn("path", F.col("_metadata.file_path")).filter(keep)
-    rows = rows.withColumn("label", label).drop("path")
-    return rows if schema is None else rows.select(*schema.names, "label")
-
-
-def read_header(spark: SparkSession, root: str, keep: Column, suffix: str) -> list[str]:
-    """Column names of the first matching file."""
-    first = (
-        labelled_files(spark, root, keep & F.col("path").endswith(suffix), F.lit(0))
-        .agg(F.min("path").alias("path")).first()["path"]
-    )
-    if first is None:
-        raise ValueError(f"no matching files below {root}")
-    return spark.read.option("header", "true").csv(first).columns
+    parts = []
+    for paths in files_by_header(spark, root, keep, suffix).values():
+        names = spark.read.option("header", "true").csv(paths[0]).columns
+        if schema is None:
+            full = read_csv_table(spark, paths).schema
+        else:
+            missing = [c for c in schema.names if c not in names]
+            if missing:
+                raise ValueError(f"{paths[0]} lacks the columns {missing}")
+            known = {f.name: f for f in schema}
+            full = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in names])
+        rows = read_csv_table(spark, paths, full).withColumn("path", F.col("_metadata.file_path"))
+        rows = rows.withColumn("label", label).drop("path")
+        parts.append(rows if schema is None else rows.select(*schema.names, "label"))
+    return union_tables(parts)
 
 
 def read_heavy_stateful(spark: SparkSession, root: str) -> DataFrame:
@@ -95,9 +123,7 @@ def read_flows(spark: SparkSession, root: str, infer_rows: int = 500) -> DataFra
     path = F.col("path")
     name = base_name(path)
     keep = contains_any(name, FLOW_FILE_WORDS)
-    first = (
-        labelled_files(spark, root, keep & path.endswith(".csv"), F.lit(0)).agg(F.min("path").alias("path")).first()
-    )["path"]
+    first = _files(spark, root, keep, ".csv").agg(F.min("path").alias("path")).first()["path"]
     if first is None:
         raise ValueError(f"no matching files below {root}")
     schema = infer_numeric_schema(spark, first, infer_rows)
@@ -132,15 +158,11 @@ def file_manifest(
     listing = listing.repartition(files, "path")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         for batch in batches:
             sums = []
             for path in batch["path"]:
-                uri = "file://" + path.split(":", 1)[1] if path.startswith("file:/") and path[6:7] != "/" else path
-                system, inner = fs.FileSystem.from_uri(uri)
                 state = hashlib.sha256()
-                with system.open_input_stream(inner) as stream:
+                with _open(path) as stream:
                     while data := stream.read(chunk):
                         state.update(data)
                 sums.append(state.hexdigest())

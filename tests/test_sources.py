@@ -44,6 +44,20 @@ def test_flow_layout_keeps_numeric_columns(spark, tmp_path):
     assert got == [(0.5, 10.0, 1), (1.5, 20.0, 0), (float("inf"), 30.0, 0)]
 
 
+def test_columns_are_matched_by_name(spark, tmp_path):
+    write(tmp_path / "Attacks" / "stateful_heavy_1.csv", "x,y\n1,2\n")
+    write(tmp_path / "stateful_heavy_2.csv", "y,x,z\n20,10,30\n")
+    got = files.read_heavy_stateful(spark, str(tmp_path)).select("x", "y", "z", "label").collect()
+    assert sorted(map(tuple, got)) == [(1, 2, None, 1), (10, 20, 30, 0)]
+
+
+def test_flow_file_without_a_kept_column(spark, tmp_path):
+    write(tmp_path / "benign-pcap-1.csv", "a,b\n1,2\n")
+    write(tmp_path / "spam.csv", "a\n1\n")
+    with pytest.raises(ValueError, match="lacks"):
+        files.read_flows(spark, str(tmp_path))
+
+
 def test_no_matching_file(spark, tmp_path):
     write(tmp_path / "x.csv", "a\n1\n")
     with pytest.raises(ValueError):
