@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbrow.operators.clean import fit_balance, positive_weight, with_weight
 from plumbrow.operators.transforms import FourierFeatures, as_vector, center_distances, nearest_one_hot
+from plumbrow.parallel import all_results
 from plumbrow.session import settle
 
 DEEPEST = 30  # Spark's limit for tree depth
@@ -143,11 +144,14 @@ def margin_to_probability(scored: DataFrame, train: DataFrame, label: str = "lab
 # ---------------------------------------------------------------- clusters
 
 
-def best_kmeans(df: DataFrame, column: str, k: int = 2, starts: int = 10, seed: int = 42) -> KMeansModel:
-    """K-Means from several starts; the lowest within-cluster cost wins."""
+def best_kmeans(
+    df: DataFrame, column: str, k: int = 2, starts: int = 10, seed: int = 42, parallelism: int = 4,
+) -> KMeansModel:
+    """K-Means from several starts over the same cached rows; the lowest within-cluster cost wins."""
     rows = as_vector(df.select(column), column, "v").select("v").persist()
     try:
-        fits = [KMeans(k=k, featuresCol="v", seed=seed + i, maxIter=300).fit(rows) for i in range(starts)]
+        start = lambda i: KMeans(k=k, featuresCol="v", seed=seed + i, maxIter=300).fit(rows)
+        fits = all_results([lambda i=i: start(i) for i in range(starts)], parallelism)
     finally:
         rows.unpersist()
     return min(fits, key=lambda m: m.summary.trainingCost)

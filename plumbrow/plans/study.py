@@ -8,10 +8,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,6 +17,7 @@ from plumbrow.operators import metrics, transforms
 from plumbrow.operators.autoencoder import AutoencoderFit
 from plumbrow.operators.classifiers import CONFIGURATIONS, TOURNAMENT, Classifier, best_kmeans, cluster_columns
 from plumbrow.operators.sampling import sample_uniform
+from plumbrow.parallel import all_results, run_parallel
 from plumbrow.session import settle
 from plumbrow.sources.files import union_tables
 
@@ -116,20 +115,6 @@ def scored_entry(entry: Entry) -> DataFrame:
     return counts.withColumn("dims", F.lit(dims)).withColumn("train_seconds", F.lit(seconds))
 
 
-def run_parallel(tasks: Sequence[Callable[[], DataFrame]], parallelism: int) -> list:
-    """Results in order; a failed task yields its exception."""
-
-    def guarded(task: Callable[[], DataFrame]):
-        try:
-            return task()
-        except Exception as error:  # one configuration must not end the comparison
-            return error
-
-    run = inheritable_thread_target(SparkSession.getActiveSession())(guarded)
-    with ThreadPoolExecutor(max_workers=max(parallelism, 1)) as pool:
-        return [f.result() for f in [pool.submit(run, t) for t in tasks]]
-
-
 def compare(entries: Sequence[Entry], parallelism: int = 4, isolate: bool = False) -> DataFrame:
     """Metrics by configuration. With ``isolate`` a failed entry becomes a row with its error."""
     results = run_parallel([lambda e=e: settle(scored_entry(e)) for e in entries], parallelism)
@@ -213,10 +198,7 @@ def cross_validate(
         counts = union_tables([scored_entry(e) for e in entries])
         return settle(counts.withColumn("fold", F.lit(f)).select("config", "fold", "score", "pred", "pos", "neg"))
 
-    results = run_parallel([lambda f=f: one(f) for f in range(k)], parallelism)
-    for r in results:
-        if isinstance(r, Exception):
-            raise r
+    results = all_results([lambda f=f: one(f) for f in range(k)], parallelism)
     return metrics.full_metrics(union_tables(results), ["config", "fold"])
 
 
@@ -269,7 +251,7 @@ def architecture_grid(
     Returns the metric table and the encoded table of every architecture.
     """
     names = [f"latent={x.width} act={x.activation}" for x in latents]
-    tables = [encode_sides(df, features, key, x) for x in latents]
+    tables = all_results([lambda x=x: encode_sides(df, features, key, x) for x in latents], parallelism)
     encoded = dict(zip(names, tables))
     entries = []
     for name, rows in encoded.items():
