@@ -58,13 +58,18 @@ def label_from_name(path: Column, word: str) -> Column:
 
 
 def column_profile(df: DataFrame, label: str) -> DataFrame:
-    """One row per column: type and whether it is a feature."""
-    rows = [
-        (i, f.name, f.dataType.simpleString(), "label" if f.name == label
-         else "retained" if is_number(f.dataType) else "excluded")
-        for i, f in enumerate(df.schema)
-    ]
-    return df.sparkSession.createDataFrame(rows, "position int, column string, dtype string, role string")
+    """One row per column: type, whether it is a feature, and its values that are not missing."""
+    rows = []
+    for i, f in enumerate(df.schema):
+        role = "label" if f.name == label else "retained" if is_number(f.dataType) else "excluded"
+        rows.append(
+            F.struct(
+                F.lit(i).alias("position"), F.lit(f.name).alias("column"),
+                F.lit(f.dataType.simpleString()).alias("dtype"), F.lit(role).alias("role"), F.col(f"n{i}").alias("n_values"),
+            )
+        )
+    counts = df.agg(*[F.count(F.col(f"`{f.name}`")).alias(f"n{i}") for i, f in enumerate(df.schema)])
+    return counts.select(F.inline(F.array(*rows)))
 
 
 # ---------------------------------------------------------------- medians

@@ -16,6 +16,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbrow.functions.columns import digest, plain
+from plumbrow.session import settle
 
 PREFIX = 3  # hexadecimal digits per histogram: 4,096 buckets per stratum
 BUCKET_ROWS = 1_000_000  # rank rows of a bucket directly up to this size
@@ -286,10 +287,11 @@ def group_split(
 ) -> DataFrame:
     """``ceil(test * groups)`` distinct vectors go to the test side with all their rows.
 
-    The side of a row follows from its own vector, so the groups are counted once and never
-    joined back: a vector that owns a third of the table costs nothing extra.
+    The side of a row follows from its own vector, so the groups are found once, stored for
+    the two passes of the fit and never joined back: a vector that owns a third of the table
+    costs nothing extra.
     """
-    groups = df.select(*features).distinct()
+    groups = settle(df.select(*features).distinct())
     order = HashOrder(tuple(features), tuple(features), str(seed))
     model = fit_blocks(groups, order, lambda c: {None: [math.ceil(test * n)] for n in c.values()})
     return model.transform(df, out, ["test", "train"])

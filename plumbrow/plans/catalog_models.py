@@ -119,14 +119,14 @@ def tournament(spark, sf):
 
 def cross_validation(spark, sf):
     folds = sampling.stratified_folds(embeddings(spark, sf), "label", KEY)
-    return study.cross_validate(folds, "z", KEY, PCA16, SMALL_SVM, columns={"Raw": "x", "QIE": "e"})
+    return study.cross_validate(folds, "z", KEY, PCA16, SMALL_SVM, columns={"raw": "x", "encoded": "e"})
 
 
 def paired_model_tests(spark, sf):
     """Raw against encoded features over shared folds."""
     wide = cross_validation(spark, sf)
     long = significance.long_metrics(wide, ["config", "fold"], ["accuracy", "auc_roc", "attack_recall"])
-    return significance.paired_tests(settle(long), "Raw", "QIE")
+    return significance.paired_tests(settle(long), "raw", "encoded")
 
 
 def cluster_study(spark, sf):

@@ -8,6 +8,10 @@ from __future__ import annotations
 
 LI_KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 LI_ID = f"{LI_KEY}, l_quantity"
+LINEITEM = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate",
+)
 LI3 = "l_quantity, l_discount, l_tax"
 LI4 = f"{LI3}, l_linenumber"
 
@@ -488,11 +492,12 @@ ORACLE = {
         ELSE count(*) END AS n FROM ev GROUP BY label""",
     "stored_assignment": f"""WITH {EV}, {EV_SPLIT}, {folds('ev', 'event_id')}
         SELECT split, fold, count(*) AS n FROM sp JOIN fd USING (event_id) GROUP BY split, fold""",
-    "column_profile": """SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name AS column,
+    "column_profile": f"""SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, d.column_name AS column,
         CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
           WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS dtype,
-        CASE WHEN column_name = 'l_returnflag' THEN 'label' WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'retained'
-          ELSE 'excluded' END AS role FROM (DESCRIBE lineitem)""",
+        CASE WHEN d.column_name = 'l_returnflag' THEN 'label'
+          WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'retained' ELSE 'excluded' END AS role, c.n AS n_values
+        FROM (DESCRIBE lineitem) d POSITIONAL JOIN ({" UNION ALL ".join(f"SELECT count({c}) AS n FROM lineitem" for c in LINEITEM)}) c""",
     # 2.7764451051977987 is the two-sided 95 % quantile of Student's t with 4 degrees of freedom
     "confidence_intervals": f"""{FOLD_METRICS} SELECT config, metric, count(*) AS folds, round(avg(value), 6) + 0.0 AS mean,
         round(stddev_pop(value), 6) + 0.0 AS std,

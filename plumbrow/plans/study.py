@@ -139,13 +139,13 @@ def representations(encoded: DataFrame, seed: int = 42) -> list[tuple[str, DataF
     one = lambda column, how: transforms.Elementwise(column, "f", how=how).transform(encoded)
     fourier = transforms.FourierFeatures("n", "f", seed=seed).fit(encoded.filter("split = 'train'"))
     return [
-        ("raw standardized features (no AE)", encoded, "x"),
+        ("raw standardized features", encoded, "x"),
         ("latent, no mapping", encoded, "z"),
         ("latent, min-max normalization only", encoded, "n"),
         ("latent, tanh", one("z", "tanh"), "f"),
         ("latent, cosine only", one("n", "cos"), "f"),
         ("latent, sine only", one("n", "sin"), "f"),
-        ("latent, cosine-sine (proposed QIE)", encoded, "e"),
+        ("latent, cosine-sine", encoded, "e"),
         ("latent, polynomial degree 2", transforms.Quadratic("n", "f").transform(encoded), "f"),
         ("latent, random Fourier features", fourier.transform(encoded), "f"),
     ]
@@ -178,7 +178,7 @@ def tournament(encoded: DataFrame, classifiers: dict[str, Classifier] | None = N
     classifiers = classifiers or {n: CONFIGURATIONS[n] for n in TOURNAMENT}
     entries = [
         Entry(f"{name} {tag}", *sides(encoded), column, c)
-        for name, c in classifiers.items() for tag, column in (("RAW", "x"), ("+QIE", "e"))
+        for name, c in classifiers.items() for tag, column in (("RAW", "x"), ("ENCODED", "e"))
     ]
     return leaderboard(compare(entries, parallelism, isolate=True))
 
@@ -189,7 +189,7 @@ def cross_validate(
 ) -> DataFrame:
     """Metrics by configuration and fold; every stage is fitted again for every fold."""
     classifier = classifier or CONFIGURATIONS["svm"]
-    columns = columns or {"Raw": "x", "AE": "z", "QIE": "e"}
+    columns = columns or {"raw": "x", "latent": "z", "encoded": "e"}
 
     def one(f: int) -> DataFrame:
         split = F.when(F.col(fold) == f, "test").otherwise("train")

@@ -47,7 +47,7 @@ def test_errors_stay_in_their_row(encoded):
     bad = Classifier("forest", {"trees": 2, "depth": 99})
     board = study.tournament(encoded, {"good": FOREST, "bad": bad}).collect()
     errors = {r["config"]: r["error"] for r in board}
-    assert errors["bad RAW"] and errors["bad +QIE"] and errors["good RAW"] is None
+    assert errors["bad RAW"] and errors["bad ENCODED"] and errors["good RAW"] is None
     assert [r["place"] for r in board if r["error"] is None][0] == 1
 
 
@@ -85,7 +85,7 @@ def test_clusters_and_study(encoded):
 
 def test_cross_validation_covers_all_rows(table):
     folds = sampling.stratified_folds(table.drop("split"), "label", KEY, k=3)
-    report = study.cross_validate(folds, "z", KEY, study.Latent(kind="pca", width=2), FOREST, k=3, columns={"Raw": "x"})
+    report = study.cross_validate(folds, "z", KEY, study.Latent(kind="pca", width=2), FOREST, k=3, columns={"raw": "x"})
     assert sorted(r["fold"] for r in report.collect()) == [0, 1, 2]
 
 
