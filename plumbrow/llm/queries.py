@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbrow.llm import lm
+from plumbrow.llm import lm, search, secrets, urls
 from plumbrow.sources.views import table
 
 
@@ -19,5 +19,57 @@ def op1_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
     return lm.fit(docs, train=~held_out).score(docs, held_out=held_out)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scores,)}
-ORACLE: dict[str, str] = {}
+def op7_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf, "documents"), keep=["doc_id"])
+    return found.select(
+        "doc_id", *[secrets.count_kind(F.col("base"), kind).alias(f"n_{kind}") for kind, *_ in secrets.KINDS],
+        F.sha2(secrets.spelled(F.col("base")), 256).alias("base_sha256"), secrets.spelled(F.col("spans")).alias("spans"),
+    )
+
+
+def op8_topk(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select("vec_id", search.quantised(F.col("embedding")).alias("vector"))
+    return search.search(vectors, F.col("vec_id") % 50 == 0)
+
+
+URL_RULES = """
+    SELECT * FROM VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+        ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow') AS rules(host, path, verdict)
+"""
+
+
+def op9_url_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf, "pages"), spark.sql(URL_RULES), keep=["page_id"])
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scores, op7_secrets, op8_topk, op9_url_verdicts)}
+ORACLE: dict[str, str] = {
+    "op8_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        )
+        SELECT query_id, row_number() OVER w AS rank, vec_id, score FROM scored
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+    """,
+    "op9_url_verdicts": """
+        WITH rest AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+        ), parts AS (
+            SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(substr(r, length(regexp_extract(r, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+            FROM rest
+        ), rules(h, p, v) AS (
+            VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+        ), best AS (
+            SELECT page_id, host, path, h || p AS rule, v FROM parts LEFT JOIN rules
+                ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+            QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) = 1
+        )
+        SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM best
+    """,
+}
