@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbrow.llm import lm, search, secrets, urls
+from plumbrow.llm import lm, mixing, search, secrets, sharding, urls
 from plumbrow.sources.views import table
 
 
@@ -19,6 +19,31 @@ def op1_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
     return lm.fit(docs, train=~held_out).score(docs, held_out=held_out)
 
 
+MIX_WEIGHTS = (3.0, 1.0, 2.0)
+
+
+def op3_mix(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf, "documents"), lambda n: MIX_WEIGHTS[n % len(MIX_WEIGHTS)])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OLD_SHARDS, NEW_SHARDS = 12, 8
+
+
+def text_shard(text: Column, shards: int) -> Column:
+    """The shard of a text in a layout by CRC-32."""
+    return F.pmod(F.crc32(F.coalesce(text, F.lit(""))), F.lit(shards))
+
+
+def op5_reshard(spark: SparkSession, sf: str) -> DataFrame:
+    """From 12 shards by CRC-32 of the text to 8 of equal bytes."""
+    docs = table(spark, sf, "documents")
+    placed = sharding.reshard(docs, text_shard(F.col("text"), OLD_SHARDS), NEW_SHARDS)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op7_secrets(spark: SparkSession, sf: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf, "documents"), keep=["doc_id"])
     return found.select(
@@ -42,7 +67,7 @@ def op9_url_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf, "pages"), spark.sql(URL_RULES), keep=["page_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scores, op7_secrets, op8_topk, op9_url_verdicts)}
+QUERIES = {f.__name__: f for f in (op1_lm_scores, op3_mix, op5_reshard, op7_secrets, op8_topk, op9_url_verdicts)}
 ORACLE: dict[str, str] = {
     "op8_topk": """
         WITH v AS (
