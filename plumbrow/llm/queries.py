@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbrow.llm import lm, mixing, search, secrets, sharding, urls
+from plumbrow.llm import decontaminate, lm, mixing, search, secrets, sharding, toxicity, urls
 from plumbrow.sources.views import table
 
 
@@ -27,6 +27,11 @@ def op3_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    """One row a benchmark passage found in a document; clean documents have none."""
+    return decontaminate.passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 OLD_SHARDS, NEW_SHARDS = 12, 8
 
 
@@ -67,7 +72,19 @@ def op9_url_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf, "pages"), spark.sql(URL_RULES), keep=["page_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scores, op3_mix, op5_reshard, op7_secrets, op8_topk, op9_url_verdicts)}
+TOXIC_AT = 0.3
+
+
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held_out = id_remainder("doc_id", 4) == 2
+    model = toxicity.fit(docs, table(spark, sf, "labels"), train=~held_out)
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scores, op3_mix, op4_decontaminate, op5_reshard, op7_secrets, op8_topk, op9_url_verdicts, op10_toxicity)}
 ORACLE: dict[str, str] = {
     "op8_topk": """
         WITH v AS (

@@ -39,6 +39,9 @@ def chain(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _WORD = ~_SPACE
+# ASCII letters and digits, and every byte of a character beyond ASCII.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -95,13 +98,15 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES
         first = last
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every word; words never cross rows."""
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray, letters: bool = False,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every word; words never cross rows. ``letters``: punctuation ends a word too."""
     n = len(data)
     if not n:
         none = np.empty(0, np.int64)
         return none, none, none
-    inside = _WORD[data]
+    inside = (_LETTER if letters else _WORD)[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     starts = inside.copy()
@@ -112,10 +117,10 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every word of a text column, in order."""
     data, offsets = buffers(column)
-    starts, ends, row = word_spans(data, offsets)
+    starts, ends, row = word_spans(data, offsets, letters)
     if not len(starts):
         return np.empty(0, np.uint64), row
     return span_hash(prefix_hash(data, fold=True), starts, ends), row
