@@ -22,7 +22,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbrow.session import settle
 
@@ -127,7 +127,7 @@ def mix_sources(
     """
     spark = docs.sparkSession
     rows = settle(docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
+        F.col(doc_id).cast("string").alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
         row_hash(doc_id, text, source).alias("tie"),
     ))
     kind = rows.schema["source"].dataType.simpleString()
@@ -164,5 +164,21 @@ def mix_sources(
         largest = state.groupBy("number").count().agg(F.max("count")).first()[0] or 0
     copies = (F.col("base") + F.col("p")).cast("long")
     return done.select(
-        "doc_id", "tie", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        F.col("doc_id").cast(docs.schema[doc_id].dataType).alias("doc_id"), "tie", "size", "source_size", "target",
+        copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
+
+
+def mixed_documents(
+    docs: DataFrame, weights: Callable[[int], float], share: float = 1.5, cap: float = 2.0, seed: int = 7,
+    doc_id: str = "doc_id", text: str = "text", source: str = "source",
+) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it."""
+    mixed = mix_sources(docs, weights, share, cap, seed, doc_id, text, source)
+    taken = mixed.groupBy(F.col("tie").alias("_tie")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    rows = docs.withColumn("_row", row_hash(doc_id, text, source)).join(taken.filter("_copies > 0"), F.col("_row") == F.col("_tie"))
+    # Equal rows share what was drawn for them.
+    number = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
+    times = F.floor(F.col("_copies") / F.col("_rows")) + (number <= F.col("_copies") % F.col("_rows")).cast("long")
+    rows = rows.withColumn("_times", times).filter("_times > 0")
+    return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbrow.llm import decontaminate, lm, mixing, search, secrets, sharding, toxicity, urls
+from plumbrow.llm import decontaminate, jaccard, lm, mixing, search, secrets, sharding, suffixes, toxicity, urls
 from plumbrow.sources.views import table
 
 
@@ -19,6 +19,11 @@ def op1_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
     return lm.fit(docs, train=~held_out).score(docs, held_out=held_out)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cut = suffixes.remove_repeats(table(spark, sf, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 MIX_WEIGHTS = (3.0, 1.0, 2.0)
 
 
@@ -49,6 +54,10 @@ def op5_reshard(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op6_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf, "documents")).drop("text_hash")
+
+
 def op7_secrets(spark: SparkSession, sf: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf, "documents"), keep=["doc_id"])
     return found.select(
@@ -84,7 +93,7 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scores, op3_mix, op4_decontaminate, op5_reshard, op7_secrets, op8_topk, op9_url_verdicts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_suffix_dedup, op3_mix, op4_decontaminate, op5_reshard, op6_jaccard, op7_secrets, op8_topk, op9_url_verdicts, op10_toxicity)}
 ORACLE: dict[str, str] = {
     "op8_topk": """
         WITH v AS (

@@ -182,3 +182,12 @@ def pooled(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
     keys = keys[order]
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return (keys[begin], *(np.add.reduceat(w[order], begin) for w in weights))
+
+
+def packed(bucket: np.ndarray, prints: np.ndarray, *weights: np.ndarray) -> Iterator[tuple]:
+    """(bucket, prints, weights …) with byte planes, one entry a bucket; prints of 32 bits ascend."""
+    order = np.argsort((bucket.astype(np.uint64) << np.uint64(32)) | prints)
+    bucket, prints = bucket[order], prints[order]
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else []
+    for a, b in zip(edges[:-1], edges[1:]):
+        yield int(bucket[a]), planes(prints[a:b]), *(planes(w[order[a:b]]) for w in weights)

@@ -244,3 +244,16 @@ def score(docs: DataFrame, model: Model, keep: Column | str = "doc_id", text: st
     rows = docs.select((F.col(keep) if isinstance(keep, str) else keep).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, score double, passages array<struct<first:long,last:long,score:double>>")
+
+
+def without_toxic(docs: DataFrame, model: Model, at: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``at``. Nothing is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in T.pieces(batch, text):
+                evidence, _ = sent.value.evidence(piece.column(text))
+                yield piece.filter(pa.array(sent.value.probability(evidence) < at))
+
+    return docs.mapInArrow(run, docs.schema)
