@@ -31,7 +31,7 @@ def search_trial(spark, sf: str):
     """One search trial at the published size: a 110,000-row development set, split 75/25."""
     li = assemble(lineitem(spark, sf), [*LI4_FEATURES, "l_extendedprice"], "f")
     key = [*LI_KEY, "l_extendedprice"]
-    dev = settle(sampling.dev_split(li, "label", key).repartition(*key))
+    dev = settle(sampling.dev_split(li, "label", key, rows=110_000).repartition(*key))
     return study.random_search(dev, "f", key, trials=1)
 
 

@@ -55,9 +55,15 @@ def plain(df: DataFrame, name: str) -> Column:
 
 
 def digest(parts: Sequence[Column], seed: str | int) -> Column:
-    """Hexadecimal MD5 of ``seed:part:part…``; the same text gives the same digest anywhere."""
-    texts = [F.coalesce(p.cast("string"), F.lit("null")) for p in parts]
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *texts))
+    """Hexadecimal MD5 of ``seed:part:part…``; the same values give the same digest anywhere.
+
+    A part is spelt with its length, a missing one as ``-``, so that no two keys share a spelling.
+    """
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[_spelled(p.cast("string")) for p in parts]))
+
+
+def _spelled(text: Column) -> Column:
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit("="), text), F.lit("-"))
 
 
 def vector_key(df: DataFrame, features: Sequence[str]) -> Column:
@@ -65,11 +71,7 @@ def vector_key(df: DataFrame, features: Sequence[str]) -> Column:
 
     Every part is written with its length, so that no two vectors share a spelling.
     """
-    parts = []
-    for name in features:
-        text = plain(df, name).cast("string")
-        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit("="), text), F.lit("-")))
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    return F.sha2(F.concat_ws("|", *[_spelled(plain(df, name).cast("string")) for name in features]), 256)
 
 
 def path_component(path: Column, name: str) -> Column:

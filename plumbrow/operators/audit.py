@@ -8,6 +8,7 @@ reduced to one report row.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -57,25 +58,33 @@ def duplicates(df: DataFrame, features: Sequence[str], decimals: int = 4) -> Dat
 def flag_duplicates(
     df: DataFrame, features: Sequence[str], key: Sequence[str], out: str = "is_duplicate",
 ) -> DataFrame:
-    """1 on every row that is not the first (smallest key) of its vector.
+    """1 on every row that is not the first (smallest key, a missing one first) of its vector.
 
     The first rows come from a grouped minimum and are matched on the unique row key, so the
     join is even however the vectors are distributed.
     """
     if len(key) == 1:  # a plain minimum keeps the hash aggregate
-        firsts = df.groupBy(*features).agg(F.min(key[0]).alias(key[0])).select(key[0], F.lit(0).alias(out))
+        firsts = df.groupBy(*features).agg(F.min(key[0]).alias("_first_0"), F.count(key[0]).alias("_n"), F.count("*").alias("_all"))
+        firsts = firsts.select(F.when(F.col("_n") == F.col("_all"), F.col("_first_0")).alias("_first_0"), F.lit(0).alias(out))
     else:
-        firsts = df.groupBy(*features).agg(F.min(F.struct(*key)).alias("_k")).select("_k.*", F.lit(0).alias(out))
-    joined = df.join(firsts, on=list(key), how="left")
+        firsts = df.groupBy(*features).agg(F.min(F.struct(*key)).alias("_k"))
+        firsts = firsts.select(*[F.col(f"_k.{k}").alias(f"_first_{i}") for i, k in enumerate(key)], F.lit(0).alias(out))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_first_{i}")) for i, k in enumerate(key)])
+    joined = df.join(firsts, same, "left")
     return joined.withColumn(out, F.coalesce(out, F.lit(1))).select(*df.columns, out)
 
 
+def known_label(label: str) -> Column:
+    """The label; a missing one ends the query."""
+    return F.when(F.col(label).isNull(), F.raise_error(F.lit(f"missing values in {label}"))).otherwise(F.col(label))
+
+
 def _by_vector(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     return df.groupBy(*features).agg(
         F.count("*").alias("_n"),
         F.min(label).alias("_low"),
         F.max(label).alias("_high"),
-        F.sum(F.col(label).cast("long")).alias("_pos"),
+        F.count(F.when(known_label(label) == 1, 1)).alias("_pos"),
     )
 
 
@@ -105,7 +114,10 @@ def unique_vectors(df: DataFrame, features: Sequence[str], label: str, value: in
 
 
 def ceiling_columns() -> dict[str, Column]:
-    """Report columns over one record per vector with ``_n`` rows and ``_pos`` positives."""
+    """Report columns over one record per vector with ``_n`` rows and ``_pos`` positives.
+
+    Fixed values: the field names of the published report.
+    """
     pos, n = F.col("_pos"), F.col("_n")
     mixed = (pos > 0) & (pos < n)
     rows = F.coalesce(F.sum("_n"), F.lit(0))
@@ -194,6 +206,8 @@ def entity_overlap(df: DataFrame, entity: str, split: str = "split") -> DataFram
     s = F.col(split)
     per = df.groupBy(entity).agg(side(s, "train").alias("_a"), side(s, "test").alias("_b"))
     known = F.col(entity).isNotNull()
+    if is_fractional(df.schema[entity].dataType):
+        known = known & ~F.isnan(entity)
     train, test = known & (F.col("_a") > 0), known & (F.col("_b") > 0)
     n_test = F.coalesce(F.sum("_b"), F.lit(0))
     leaked = F.coalesce(F.sum(F.when(train & test, F.col("_b"))), F.lit(0))

@@ -228,8 +228,7 @@ class AutoencoderFit(_Column, Estimator):
         rows = validation_tail(rows, key, v("valid"), seed=seed, out="held")
         order = HashOrder(tuple(key), (), f"{seed}:tail").digest(rows)
         shape = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
-        most = max(256, 2 * df.sparkSession.sparkContext.defaultParallelism)
-        tasks = min(max(1, math.ceil(shape["n"] / v("rowsPerTask"))), most)
+        tasks = max(1, math.ceil(shape["n"] / v("rowsPerTask")))  # by the rows alone: the fit is the same on any cluster
         hashed = rows.withColumn("h", order)
         data = hashed.repartition(tasks, "h").sortWithinPartitions("h").select("x", "held").persist()
         hidden, width = v("hidden"), shape["d"]

@@ -11,7 +11,7 @@ from plumbrow.functions.columns import finite, is_fractional, is_number, numeric
 # Columns that identify a flow and would leak its origin.
 LEAKY_COLUMNS = ("Unnamed: 0", "flow_id", "timestamp", "src_ip", "src_port", "dst_ip", "dst_port", "protocol")
 
-EXACT_ROWS = 2_000_000  # rows up to which one exact median aggregate is used
+EXACT_CELLS = 1_000_000  # values of all columns together that one task may rank
 SKETCH = 10_000  # rank error of a sketch is rows / SKETCH
 
 
@@ -76,21 +76,19 @@ def column_profile(df: DataFrame, label: str) -> DataFrame:
 
 
 def medians(
-    df: DataFrame, features: Sequence[str], exact_rows: int = EXACT_ROWS, sketch: int = SKETCH,
+    df: DataFrame, features: Sequence[str], cells: int = EXACT_CELLS, sketch: int = SKETCH,
 ) -> dict[str, float | None]:
     """Exact interpolated medians of all features.
 
-    Spark's exact median gathers the distinct values of a column in one task, so it is used
-    only for small tables. Beyond ``exact_rows`` a quantile sketch brackets the middle ranks,
-    the next pass counts the rows below the bracket, and sketches are repeated on the rows
-    inside it until those are few. All columns narrow together; each pass returns one row.
+    Spark's exact ranks gather the distinct values of a column in one task, so they are asked for
+    once few values are left: ``cells`` over all columns. Until then a quantile sketch brackets the
+    middle ranks, the next pass counts the rows below the bracket, and sketches are repeated on the
+    rows inside it. All columns narrow together; each pass returns one row. Where both middle
+    values are equal that value is the median, infinities included.
     """
     if not features:
         return {}
-    if df.count() <= exact_rows:
-        row = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in features]).first()
-        return {c: row[c] for c in features}
-    return _bracketed_medians(df, features, exact_rows, sketch)
+    return _bracketed_medians(df, features, max(cells // len(features), 1), sketch)
 
 
 def _bracketed_medians(
@@ -105,6 +103,7 @@ def _bracketed_medians(
     high: dict[str, float | None] = {c: None for c in ranks}
     offset = {c: 0 for c in ranks}  # rows at or below the lower end
     inside = {c: n_row[c] for c in ranks}
+    pad = {c: 2.0 / sketch for c in ranks}
 
     def within(c: str) -> Column:
         v = F.col(c).cast("double")
@@ -125,8 +124,7 @@ def _bracketed_medians(
         for i, c in enumerate(todo):
             rel = open_ranks(c)
             if c in wide:
-                pad = 2.0 / sketch
-                marks = [max(rel[0] / inside[c] - pad, 0.0), min((rel[-1] + 1) / inside[c] + pad, 1.0)]
+                marks = [max(rel[0] / inside[c] - pad[c], 0.0), min((rel[-1] + 1) / inside[c] + pad[c], 1.0)]
                 aggs.append(F.percentile_approx(f"v{i}", marks, sketch).alias(c))
             else:  # the half step keeps the wanted row clear of floating-point rounding
                 disc = [
@@ -166,12 +164,12 @@ def _bracketed_medians(
                 low[c], high[c] = a, b
                 offset[c] += below + at_a
                 inside[c] = mid
-            else:
-                raise RuntimeError(f"sketch of {c} missed its rank bound")
+            else:  # the sketch missed the ranks: look again with a wider bracket
+                pad[c] *= 4
         todo = [c for c in wide if inside[c]]
     for c in ranks:
         first, second = (known[c][r] for r in ranks[c])
-        result[c] = first + (second - first) / 2
+        result[c] = first if first == second else first + (second - first) / 2
     return {c: result[c] for c in features}
 
 

@@ -8,16 +8,16 @@ shared by a third of the rows is a single record.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbrow.functions.columns import ratio
 from plumbrow.session import settle
 
-BUCKETS = 1024
-DIRECT_SCORES = 200_000  # distinct scores that one window may hold
+BUCKET_SCORES = 100_000  # distinct scores that one window is to hold
 THRESHOLDS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 
 
@@ -117,23 +117,22 @@ def calibration(counts: DataFrame, by: Sequence[str] = ("config",)) -> DataFrame
 
 
 def ranking_metrics(
-    counts: DataFrame, by: Sequence[str] = ("config",), buckets: int = BUCKETS, direct: int = DIRECT_SCORES,
+    counts: DataFrame, by: Sequence[str] = ("config",), bucket_scores: int = BUCKET_SCORES,
 ) -> DataFrame:
     """ROC-AUC (ties half counted) and average precision (step sum).
 
-    The distinct scores are stored once, so the scoring behind them runs once. Up to
-    ``direct`` of them, one window per configuration gives the running counts. Beyond that
-    the running counts are two-level: scores are cut into value buckets at sketched
-    quantiles, a window over the bucket totals gives the counts above a bucket, and windows
-    inside the buckets do the rest, so no task sorts all scores. Bucket bounds are literals:
-    a task that runs again sees the same buckets.
+    The distinct scores are stored once, so the scoring behind them runs once. The running counts
+    are two-level: the scores of every configuration are cut into value buckets at its own sketched
+    quantiles, about ``bucket_scores`` in each, a window over the bucket totals gives the counts
+    above a bucket, and windows inside the buckets do the rest, so no task sorts all scores. The
+    bounds are stored: a task that runs again sees the same buckets.
     """
     scores = settle(
         counts.groupBy(*by, "score").agg(
             F.sum("pos").cast("double").alias("pos"), F.sum("neg").cast("double").alias("neg")
         )
     )
-    running = _running(scores, by) if scores.count() <= direct else _running_in_buckets(scores, by, buckets)
+    running = _running_in_buckets(scores, by, bucket_scores)
     pos, neg, ctp, cfp = (F.col(c) for c in ("pos", "neg", "ctp", "cfp"))
     return running.groupBy(*by).agg(
         ratio(F.sum(neg * (ctp - pos / 2)), F.sum(pos) * F.sum(neg), None).alias("auc_roc"),
@@ -147,16 +146,17 @@ def _running(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     return scores.withColumn("ctp", F.sum("pos").over(down)).withColumn("cfp", F.sum("neg").over(down))
 
 
-def _running_in_buckets(scores: DataFrame, by: Sequence[str], buckets: int) -> DataFrame:
-    marks = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(scores.approxQuantile("score", marks, 0.25 / buckets)))
-    inf = float("inf")
-    splits = [-inf, *[b for b in bounds if -inf < b < inf], inf]
-    if len(splits) > 2:
-        bucketizer = Bucketizer(splits=splits, inputCol="score", outputCol="bucket", handleInvalid="keep")
-        scores = bucketizer.transform(scores)
-    else:
-        scores = scores.withColumn("bucket", F.lit(0.0))
+def _running_in_buckets(scores: DataFrame, by: Sequence[str], bucket_scores: int) -> DataFrame:
+    largest = scores.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    buckets = max(1, math.ceil(largest / bucket_scores))
+    marks = F.array(*[F.lit(i / buckets) for i in range(1, buckets)]).cast("array<double>")
+    bounds = scores.groupBy(*by).agg(
+        F.percentile_approx("score", marks, 8 * buckets).alias("bounds") if buckets > 1 else F.first(marks).alias("bounds")
+    )
+    named = settle(bounds.select(*[F.col(c).alias(f"b_{c}") for c in by], F.array_distinct("bounds").alias("bounds")))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in by])
+    at = F.size(F.filter("bounds", lambda x: x <= F.col("score")))
+    scores = scores.join(named, same).select(*scores.columns, at.alias("bucket"))
     higher = Window.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     above = (
         scores.groupBy(*by, "bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -24,20 +25,25 @@ BUCKET_ROWS = 1_000_000  # rank rows of a bucket directly up to this size
 
 @dataclass(frozen=True)
 class HashOrder:
-    """Total order of rows: digest of ``key``, then the ``ties`` columns.
+    """Total order of rows: digest of ``key``, then the ``ties`` columns, then the key itself.
 
-    ``key`` and ``ties`` together must identify a row (or, for group splits, a vector).
+    ``key`` and ``ties`` together must identify a row (or, for group splits, a vector); a cut that
+    falls between rows which they do not tell apart is refused.
     """
 
     key: tuple[str, ...]
     ties: tuple[str, ...] = ()
     seed: str = "42"
 
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return tuple(dict.fromkeys([*self.ties, *self.key]))
+
     def digest(self, df: DataFrame) -> Column:
         return digest([plain(df, k) for k in self.key], self.seed)
 
     def place(self, df: DataFrame) -> Column:
-        return F.struct(self.digest(df).alias("h"), *[plain(df, t).alias(t) for t in self.ties])
+        return F.struct(self.digest(df).alias("h"), *[plain(df, t).alias(t) for t in self.columns])
 
 
 @dataclass(frozen=True)
@@ -56,7 +62,7 @@ class BlockModel:
 
         def after(cut: tuple) -> Column:
             fields = [F.lit(cut[0]).alias("h")]
-            fields += [F.lit(v).cast(types[t]).alias(t) for t, v in zip(self.order.ties, cut[1:])]
+            fields += [F.lit(v).cast(types[t]).alias(t) for t, v in zip(self.order.columns, cut[1:])]
             return (here > F.struct(*fields)).cast("int")
 
         def position(value: Any) -> Column:
@@ -140,13 +146,18 @@ def fit_blocks(
     cuts: dict[Any, list[tuple | None]] = {s: [None] * len(w) for s, w in ranks.items()}
     if targets:
         prefix = F.substring("p.h", 1, digits)
+        order_in = Window.partitionBy("s", "b").orderBy("p")
         ranked = (
             rows.filter(inside(targets))
             .withColumn("b", prefix)
-            .withColumn("rn", F.row_number().over(Window.partitionBy("s", "b").orderBy("p")))
+            .withColumn("rn", F.row_number().over(order_in))
+            .withColumn("same", F.coalesce(F.lead("p").over(order_in).eqNullSafe(F.col("p")), F.lit(False)))
             .filter(F.col("rn").isin(sorted({t[3] for t in targets})))
             .collect()
         )
+        wanted_places = {(t[0], t[2], t[3]) for t in targets}
+        if any(r["same"] and (r["s"], r["b"], r["rn"]) in wanted_places for r in ranked):
+            raise ValueError(f"{order.columns} do not identify the rows at a cut")
         found = {(r["s"], r["b"], r["rn"]): tuple(r["p"]) for r in ranked}
         for s, i, b, rank in targets:
             cuts[s][i] = found[(s, b, rank)]
@@ -251,12 +262,12 @@ def stratified_split(
 
 
 def dev_split(
-    train: DataFrame, label: str, key: Sequence[str], rows: int = 110_000, valid: float = 0.25,
+    train: DataFrame, label: str, key: Sequence[str], rows: int | None = None, valid: float = 0.25,
     ties: Sequence[str] = (), seed: str | int = 42, out: str = "split",
 ) -> DataFrame:
-    """Uniform sample of the training side, then a stratified validation split of it."""
+    """A stratified validation split of the training side, or of a uniform sample of ``rows`` of it."""
     salted = f"{seed}:dev"
-    sample = sample_uniform(train, key, rows, ties, salted)
+    sample = train if rows is None else sample_uniform(train, key, rows, ties, salted)
     model = fit_stratified_split(sample, label, key, valid, ties, f"{salted}:valid")
     return model.transform(sample, out, ["valid", "train"])
 
@@ -308,5 +319,13 @@ def validation_tail(
 
 
 def attach_split(df: DataFrame, assignment: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Join a stored split table back to its rows. The key is unique, so the join is balanced."""
-    return df.join(assignment, on=list(key), how="inner")
+    """Join a stored split table back to its rows; a row without an assignment ends the query.
+
+    The key is unique, so the join is balanced. Missing key parts match missing ones.
+    """
+    named = assignment.select(*[F.col(c).alias(f"_{c}") if c in key else F.col(c) for c in assignment.columns], F.lit(1).alias("_there"))
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+    joined = df.join(named, match, "left")
+    unknown = F.raise_error(F.concat(F.lit("no split is stored for the key "), F.to_json(F.struct(*key))))
+    out = [c for c in assignment.columns if c not in key]
+    return joined.select(*df.columns, *[F.when(F.col("_there").isNull(), unknown).otherwise(F.col(c)).alias(c) for c in out])

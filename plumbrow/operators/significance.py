@@ -55,9 +55,11 @@ def paired_statistics(
     )
 
 
-def paired_tests(metrics: DataFrame, a: str, b: str, **columns) -> DataFrame:
+def paired_tests(metrics: DataFrame, a: str, b: str, method: str = "exact", **columns) -> DataFrame:
     """Paired statistics with two-sided p-values; a p-value is NaN where undefined.
 
+    ``method`` is that of the signed rank test, ``exact`` or ``normal``.
+
     The ranks of one record are as many as there are folds.
     """
     stats = paired_statistics(metrics, a, b, **columns)
@@ -68,7 +70,7 @@ def paired_tests(metrics: DataFrame, a: str, b: str, **columns) -> DataFrame:
 
     @F.pandas_udf("double")
     def w_p(w: pd.Series, ranks: pd.Series) -> pd.Series:
-        return pd.Series([two_sided_signed_rank(x, list(r)) for x, r in zip(w, ranks)], dtype="float64")
+        return pd.Series([two_sided_signed_rank(x, list(r), method) for x, r in zip(w, ranks)], dtype="float64")
 
     undefined = F.lit(math.nan)  # Arrow returns NaN as NULL
     return (
@@ -135,11 +137,13 @@ def t_quantile(level: float, df: int) -> float:
     return (low + high) / 2
 
 
-def two_sided_signed_rank(statistic: float, ranks: list[float]) -> float:
-    """Exact up to 50 pairs by counting sign patterns over doubled ranks, else normal."""
+def two_sided_signed_rank(statistic: float, ranks: list[float], method: str = "exact") -> float:
+    """``exact`` counts sign patterns over doubled ranks, ``normal`` uses the normal curve."""
+    if method not in ("exact", "normal"):
+        raise ValueError(f"unknown method {method}")
     if not ranks:
         return math.nan
-    if len(ranks) <= 50:
+    if method == "exact":
         ways = {0: 1}
         for r in ranks:
             step = round(2 * r)

@@ -552,8 +552,14 @@ def csv_labelled_ingest(spark, sf):
     )
 
 
+def string_key_split(spark, sf):
+    """A stratified split over a text key; debtors are the positive class."""
+    rows = table(spark, sf, "customer").select("c_name", "c_mktsegment", (F.col("c_acctbal") < 0).cast("int").alias("label"))
+    return sampling.stratified_split(rows, "label", ["c_name", "c_mktsegment"]).select("c_name", "split")
+
+
 def chunked_ingest(spark, sf):
-    """Stream the events in, keep a tenth of the benign rows of every chunk, and count the store."""
+    """Stream the events in, keep a tenth of the benign rows, and count the store."""
     out = scratch_path(spark, "chunks")
     stream = stream_files(spark, sf, table(spark, sf, "events").schema, "parquet", "events.parquet")
     is_error = (F.col("event_type") == "error").cast("int")
@@ -662,5 +668,6 @@ QUERIES = {
     "file_manifest": file_manifest,
     "csv_labelled_ingest": csv_labelled_ingest,
     "chunked_ingest": chunked_ingest,
+    "string_key_split": string_key_split,
     "stored_assignment": stored_assignment,
 }

@@ -34,7 +34,9 @@ DIRTY = """dirty AS (
 
 
 def hashed(key: str, seed: str = "42") -> str:
-    return f"md5(concat_ws(':', '{seed}', {key}))"
+    parts = [f"CAST({k.strip()} AS VARCHAR)" for k in key.split(",")]
+    spelled = ", ".join(f"coalesce(concat(length({p}), '=', {p}), '-')" for p in parts)
+    return f"md5(concat_ws(':', '{seed}', {spelled}))"
 
 
 def split_ctes(source: str, key: str, ties: str = "", share: str = "0.2::DOUBLE", seed: str = "42",
@@ -488,8 +490,10 @@ ORACLE = {
         FROM ev""",
     "csv_labelled_ingest": f"""WITH {LI} SELECT label, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys,
         round_even(sum(l_extendedprice), 2) AS price FROM li GROUP BY label""",
-    "chunked_ingest": f"""WITH {EV} SELECT label, CASE label WHEN 0 THEN CAST(round_even(0.1::DOUBLE * count(*), 0) AS BIGINT)
-        ELSE count(*) END AS n FROM ev GROUP BY label""",
+    "string_key_split": f"""WITH cu AS (SELECT c_name, c_mktsegment, CAST(c_acctbal < 0 AS INTEGER) AS label FROM customer),
+        {split_ctes('cu', 'c_name, c_mktsegment', 'c_name, c_mktsegment')} SELECT c_name, split FROM sp""",
+    "chunked_ingest": f"""WITH {EV} SELECT label, count(*) AS n FROM ev
+        WHERE label <> 0 OR substring({hashed('event_id', '42:chunk')}, 1, 8) < '1999999a' GROUP BY label""",
     "stored_assignment": f"""WITH {EV}, {EV_SPLIT}, {folds('ev', 'event_id')}
         SELECT split, fold, count(*) AS n FROM sp JOIN fd USING (event_id) GROUP BY split, fold""",
     "column_profile": f"""SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, d.column_name AS column,

@@ -38,16 +38,17 @@ def hash_rank(df: DataFrame, by: Sequence[str], order: str, out: str) -> DataFra
 
 def permutation_importance(
     fitted: FittedClassifier, df: DataFrame, features: Sequence[str], key: Sequence[str], label: str = "label",
-    rows: int = 10_000, repeats: int = 5, seed: int = 42,
+    rows: int | None = None, repeats: int = 5, seed: int = 42,
 ) -> DataFrame:
-    """Mean accuracy drop when one feature is shuffled, over ``repeats`` shuffles.
+    """Mean accuracy drop when one feature is shuffled, over ``repeats`` shuffles, on all rows or a sample of ``rows``.
 
     A shuffle pairs two hash orders of the same sample: row number i receives the value of
     the row that is i-th in the shuffled order. All shuffles are one long table and are
     scored in one pass.
     """
     column = fitted.column
-    sample = settle(sample_uniform(df.select(*key, label, column), key, rows, seed=f"{seed}:permute"))
+    chosen = df.select(*key, label, column)
+    sample = settle(chosen if rows is None else sample_uniform(chosen, key, rows, seed=f"{seed}:permute"))
     names = [F.col(k) for k in key]
     base = hash_rank(sample.withColumn("h", digest(names, f"{seed}:place")).withColumn("g", F.lit(0)), ["g"], "h", "i")
     shuffles = F.explode(F.sequence(F.lit(0), F.lit(len(features) * repeats - 1)))

@@ -50,7 +50,7 @@ class Latent:
 
 # The study's two autoencoders.
 SMALL_LATENT = Latent()
-WIDE_LATENT = Latent(width=32, activation="tanh", batch=512, epochs=40, patience=6, max_rows=100_000)
+WIDE_LATENT = Latent(width=32, activation="tanh", batch=512, epochs=40, patience=6)
 
 
 @dataclass(frozen=True)
@@ -118,7 +118,7 @@ def scored_entry(entry: Entry) -> DataFrame:
 def compare(entries: Sequence[Entry], parallelism: int = 4, isolate: bool = False) -> DataFrame:
     """Metrics by configuration. With ``isolate`` a failed entry becomes a row with its error."""
     results = run_parallel([lambda e=e: settle(scored_entry(e)) for e in entries], parallelism)
-    errors = [(e.config, str(r)[:200]) for e, r in zip(entries, results) if isinstance(r, Exception)]
+    errors = [(e.config, str(r)) for e, r in zip(entries, results) if isinstance(r, Exception)]
     if errors and not isolate:
         raise next(r for r in results if isinstance(r, Exception))
     parts = [r for r in results if not isinstance(r, Exception)]
@@ -139,15 +139,15 @@ def representations(encoded: DataFrame, seed: int = 42) -> list[tuple[str, DataF
     one = lambda column, how: transforms.Elementwise(column, "f", how=how).transform(encoded)
     fourier = transforms.FourierFeatures("n", "f", seed=seed).fit(encoded.filter("split = 'train'"))
     return [
-        ("raw standardized features", encoded, "x"),
-        ("latent, no mapping", encoded, "z"),
-        ("latent, min-max normalization only", encoded, "n"),
-        ("latent, tanh", one("z", "tanh"), "f"),
-        ("latent, cosine only", one("n", "cos"), "f"),
-        ("latent, sine only", one("n", "sin"), "f"),
-        ("latent, cosine-sine", encoded, "e"),
-        ("latent, polynomial degree 2", transforms.Quadratic("n", "f").transform(encoded), "f"),
-        ("latent, random Fourier features", fourier.transform(encoded), "f"),
+        ("raw", encoded, "x"),
+        ("latent", encoded, "z"),
+        ("latent scaled", encoded, "n"),
+        ("latent tanh", one("z", "tanh"), "f"),
+        ("latent cos", one("n", "cos"), "f"),
+        ("latent sin", one("n", "sin"), "f"),
+        ("latent angles", encoded, "e"),
+        ("latent quadratic", transforms.Quadratic("n", "f").transform(encoded), "f"),
+        ("latent fourier", fourier.transform(encoded), "f"),
     ]
 
 
@@ -219,17 +219,18 @@ def cluster_study(
 
 def audit_evaluator(
     features: str, key: Sequence[str], latent: Latent | None = None, classifier: Classifier | None = None,
+    wide_above: int = 50,
 ) -> Callable[[DataFrame], DataFrame]:
     """Function for the leakage audit: the whole pipeline refitted on the training side of a split.
 
-    Without ``latent`` the wide autoencoder serves more than 50 features, else a narrow one.
+    Without ``latent`` the wide autoencoder serves more than ``wide_above`` features, else a narrow one.
     """
     classifier = classifier or CONFIGURATIONS["RandomForest"]
 
     def evaluate(df: DataFrame) -> DataFrame:
         chosen = latent
         if chosen is None:
-            wide = df.select(F.size(features).alias("d")).first()["d"] > 50
+            wide = df.select(F.size(features).alias("d")).first()["d"] > wide_above
             chosen = WIDE_LATENT if wide else replace(WIDE_LATENT, width=16)
         train, test = sides(encode_sides(df, features, key, chosen))
         counts = scored_entry(Entry("pipeline", train, test, "e", classifier))
@@ -246,7 +247,7 @@ def architecture_grid(
     df: DataFrame, features: str, key: Sequence[str], latents: Sequence[Latent], classifier: Classifier,
     fit_rows: int = 15_000, parallelism: int = 4, seed: int = 42,
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Latent width times activation; the classifier is fitted on a subsample of the training side.
+    """Latent width times activation; the classifier is fitted on ``fit_rows`` rows of the training side at most.
 
     Returns the metric table and the encoded table of every architecture.
     """
@@ -265,7 +266,7 @@ def margin_grid(
     gammas: Sequence[str | float] = ("scale", 0.01, 0.1), fit_rows: int = 15_000, parallelism: int = 4,
     base: Classifier | None = None, seed: int = 42,
 ) -> DataFrame:
-    """C times gamma of the margin classifier on a subsample, balanced classes."""
+    """C times gamma of the margin classifier, balanced classes, fitted on ``fit_rows`` training rows at most."""
     base = base or Classifier("fourier_svm", {}, "balanced")
     train, test = sides(encoded)
     part = settle(sample_uniform(train, key, fit_rows, seed=f"{seed}:grid").select("label", "e"))
@@ -273,7 +274,7 @@ def margin_grid(
     return compare(entries, parallelism)
 
 
-# The search space: choices, a uniform range, and stepped ranges.
+# Fixed values, the published search space: choices, a uniform range, and stepped ranges.
 SEARCH_SPACE = {
     "h1": (64, 128, 256),
     "h2": (32, 64),

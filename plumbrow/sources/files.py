@@ -24,23 +24,24 @@ NUMBER_TEXT = {"header": "true", "positiveInf": "inf", "negativeInf": "-inf", "n
 
 
 def read_csv_table(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header; types come from ``schema`` or from the whole input."""
+    """CSV with a header; types come from ``schema`` or from the whole input.
+
+    A cell that does not fit its type ends the query.
+    """
     reader = spark.read.options(**NUMBER_TEXT)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")
+    reader = reader.schema(schema).option("mode", "FAILFAST") if schema is not None else reader.option("inferSchema", "true")
     return reader.csv(path)
 
 
 def infer_numeric_schema(
-    spark: SparkSession, path: str, n: int = 500, drop: Sequence[str] = LEAKY_COLUMNS,
+    spark: SparkSession, paths: str | list[str], drop: Sequence[str] = LEAKY_COLUMNS,
 ) -> T.StructType:
-    """Types from the first ``n`` rows of one file: the numeric columns, as doubles.
-
-    Only the sample decides the types; the scan that follows reads the whole files.
-    """
-    lines = [r["value"] for r in spark.read.text(path).limit(n + 1).collect()]
-    frame = spark.read.options(**NUMBER_TEXT, inferSchema="true").csv(spark.sparkContext.parallelize(lines, 1))
-    keep = [f for f in frame.schema if is_number(f.dataType) and f.name not in drop]
-    return T.StructType([T.StructField(f.name, T.DoubleType()) for f in keep])
+    """The numeric columns, as doubles. All rows of ``paths`` decide; a column without values is numeric."""
+    frame = read_csv_table(spark, paths)
+    texts = [f.name for f in frame.schema if isinstance(f.dataType, T.StringType)]
+    values = frame.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in texts]).first() if texts else {}
+    keep = [f.name for f in frame.schema if f.name not in drop and (is_number(f.dataType) or (f.name in texts and not values[f.name]))]
+    return T.StructType([T.StructField(c, T.DoubleType()) for c in keep])
 
 
 def _files(spark: SparkSession, root: str, keep: Column, suffix: str) -> DataFrame:
@@ -61,7 +62,7 @@ def _open(path: str):
 def files_by_header(spark: SparkSession, root: str, keep: Column, suffix: str = ".csv") -> dict[str, list[str]]:
     """Matching files grouped by their first line; only the first lines are read.
 
-    The driver receives file names, as it does for any file scan.
+    The driver receives file names, as it does for any file scan, and each distinct header once.
     """
 
     def first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,10 +76,13 @@ def files_by_header(spark: SparkSession, root: str, keep: Column, suffix: str =
                 lines.append(line.split(b"\n")[0].decode().rstrip("\r"))
             yield batch.assign(header=lines)
 
-    found = _files(spark, root, keep, suffix).mapInPandas(first_lines, "path string, header string")
+    found = settle(
+        _files(spark, root, keep, suffix).mapInPandas(first_lines, "path string, header string").withColumn("h", F.sha2("header", 256))
+    )
+    headers = {r["h"]: r["header"] for r in found.select("h", "header").distinct().collect()}
     groups: dict[str, list[str]] = {}
-    for r in found.orderBy("path").collect():
-        groups.setdefault(r["header"], []).append(r["path"])
+    for r in found.select("path", "h").orderBy("path").toLocalIterator():
+        groups.setdefault(headers[r["h"]], []).append(r["path"])
     if not groups:
         raise ValueError(f"no matching files below {root}")
     return groups
@@ -118,15 +122,19 @@ def read_heavy_stateful(spark: SparkSession, root: str) -> DataFrame:
     return read_labelled(spark, root, keep, path_component(F.col("path"), ATTACK_FOLDER).cast("int"))
 
 
-def read_flows(spark: SparkSession, root: str, infer_rows: int = 500) -> DataFrame:
+def read_flows(spark: SparkSession, root: str) -> DataFrame:
     """Flow files by kind: numeric columns only, 0 for benign captures, else 1."""
     path = F.col("path")
     name = base_name(path)
     keep = contains_any(name, FLOW_FILE_WORDS)
-    first = _files(spark, root, keep, ".csv").agg(F.min("path").alias("path")).first()["path"]
-    if first is None:
-        raise ValueError(f"no matching files below {root}")
-    schema = infer_numeric_schema(spark, first, infer_rows)
+    groups = files_by_header(spark, root, keep)
+    found = [infer_numeric_schema(spark, paths) for paths in groups.values()]
+    names = [c for c in found[0].names if all(c in f.names for f in found)]
+    headers = [header.split(",") for header in groups]
+    lost = [c for c in found[0].names if not all(c in h for h in headers)]
+    if lost:
+        raise ValueError(f"a file below {root} lacks the columns {lost}")
+    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in names])
     return read_labelled(spark, root, keep, label_from_name(name, BENIGN_WORD), schema)
 
 

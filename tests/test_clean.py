@@ -42,7 +42,7 @@ def test_bracketed_medians_are_exact(spark, n):
         F.when(F.col("id") * 2 < n, F.lit(0.0)).otherwise(F.lit(1.0)).alias("edge"),
     ).persist()
     names = df.columns
-    got = clean.medians(df, names, exact_rows=10, sketch=20)
+    got = clean.medians(df, names, cells=70, sketch=20)
     for c in names:
         values = [r[c] for r in df.select(c).collect() if r[c] is not None]
         assert got[c] == (statistics.median(values) if values else None), c

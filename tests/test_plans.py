@@ -48,7 +48,7 @@ def test_one_aggregate_serves_the_audit(spark, sf):
     assert plan(report).count("Exchange hashpartitioning") == 1
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_points.queries()) - set(MODEL_QUERIES)))
+@pytest.mark.parametrize("name", sorted(set(entry_points.queries()) - set(MODEL_QUERIES) - set(entry_points.LLM_QUERIES)))
 def test_no_cross_join_and_no_row_udf(spark, sf, name):
     text = plan(catalog.QUERIES[name](spark, sf))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text and "BatchEvalPython" not in text

@@ -1,4 +1,5 @@
 import hashlib
+import math
 
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -64,10 +65,23 @@ def test_no_matching_file(spark, tmp_path):
         files.read_flows(spark, str(tmp_path))
 
 
-def test_schema_from_a_sample(spark, tmp_path):
-    write(tmp_path / "a.csv", "a,b,flow_id\n" + "1,x,3\n" * 20 + "z,x,3\n")
-    assert files.infer_numeric_schema(spark, str(tmp_path / "a.csv"), 10).names == ["a"]
-    assert files.infer_numeric_schema(spark, str(tmp_path / "a.csv"), 30).names == []
+def test_all_rows_decide_the_schema(spark, tmp_path):
+    write(tmp_path / "a.csv", "a,b,flow_id,late,none\n" + "1,x,3,,\n" * 900 + "z,x,3,4.5,\n")
+    assert files.infer_numeric_schema(spark, str(tmp_path / "a.csv")).names == ["late", "none"]
+
+
+def test_empty_first_column_is_kept(spark, tmp_path):
+    write(tmp_path / "benign-pcap-1.csv", "a,b\n" + ",1\n" * 700 + "2.5,1\n")
+    write(tmp_path / "spam.csv", "a,b\n,3\n")
+    got = files.read_flows(spark, str(tmp_path))
+    assert got.columns == ["a", "b", "label"] and got.agg(F.sum("a")).first()[0] == 2.5
+
+
+def test_bad_cell_ends_the_query(spark, tmp_path):
+    write(tmp_path / "x.csv", "a\n1\nbad\n")
+    schema = T.StructType([T.StructField("a", T.DoubleType())])
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_csv_table(spark, str(tmp_path), schema).collect()
 
 
 def test_file_manifest(spark, tmp_path):
@@ -104,14 +118,29 @@ def test_vector_keys_do_not_run_together(spark):
     assert df.select(C.vector_key(df, ["x", "y"])).distinct().count() == 4
 
 
-def test_chunks_are_sampled_one_by_one(spark, tmp_path):
-    for i in range(3):
-        write(tmp_path / "in" / f"benign-pcap-{i}.csv", "v\n" + "".join(f"{i}\n" for _ in range(30)))
-    write(tmp_path / "in" / "spam-1.csv", "v\n9\n9\n")
-    schema = T.StructType([T.StructField("v", T.IntegerType())])
-    stream = stream_files(spark, str(tmp_path / "in"), schema, files_per_chunk=1)
+@pytest.mark.parametrize("files_per_chunk", [1, 2, 25])
+def test_chunks_do_not_change_the_sample(spark, tmp_path, files_per_chunk):
+    root = tmp_path
+    rows = [(i, j) for i in range(25) for j in range(8)]
+    for i in range(25):
+        write(root / "in" / f"benign-pcap-{i}.csv", "id,v\n" + "".join(f"{i * 100 + j},{i}\n" for j in range(8)))
+    write(root / "in" / "spam-1.csv", "id,v\n9000,9\n9001,9\n")
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("v", T.IntegerType())])
+    stream = stream_files(spark, str(root / "in"), schema, files_per_chunk=files_per_chunk)
     name = C.base_name(F.col("path"))
     keep, label = C.contains_any(name, files.FLOW_FILE_WORDS), 1 - name.contains("benign").cast("int")
-    ingest_chunks(stream, keep, label, str(tmp_path / "out"), {0: 0.1}, progress=str(tmp_path / "p"))
-    got = {r["v"]: r["count"] for r in read_chunks(spark, str(tmp_path / "out")).groupBy("v").count().collect()}
-    assert got == {0: 3, 1: 3, 2: 3, 9: 2}
+    ingest_chunks(stream, keep, label, str(tmp_path / "out"), {0: 0.1}, ["id"], progress=str(tmp_path / "p"))
+    got = sorted(r["id"] for r in read_chunks(spark, str(tmp_path / "out")).collect())
+    low = f"{math.ceil(0.1 * 2**32):08x}"
+    digest = lambda i: hashlib.md5(f"42:chunk:{len(str(i))}={i}".encode()).hexdigest()
+    assert got == sorted([i * 100 + j for i, j in rows if digest(i * 100 + j)[:8] < low] + [9000, 9001])
+
+
+@pytest.mark.parametrize("share, files_per_chunk", [(0.1, 1), (0.1, 25), (0.0, 3), (1.0, 3)])
+def test_rows_without_a_key(spark, tmp_path, share, files_per_chunk):
+    for i in range(10):
+        write(tmp_path / "in" / f"benign-pcap-{i}.csv", "v\n" + "7\n" * 40)
+    stream = stream_files(spark, str(tmp_path / "in"), T.StructType([T.StructField("v", T.IntegerType())]), files_per_chunk=files_per_chunk)
+    ingest_chunks(stream, F.lit(True), F.lit(0), str(tmp_path / "out"), {0: share}, progress=str(tmp_path / "p"))
+    n = read_chunks(spark, str(tmp_path / "out")).count()
+    assert n == {0.0: 0, 1.0: 400}.get(share, n) and (share != 0.1 or 15 <= n <= 70)
