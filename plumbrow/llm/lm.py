@@ -63,26 +63,32 @@ def _number(key: np.ndarray, order: int) -> np.ndarray:
     return T.mix(key + np.uint64(order))
 
 
-def grams(h: np.ndarray, row: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray | None]]:
-    """For every order, the n-gram that ends at each token and the context of that token.
+def grams(h: np.ndarray, row: np.ndarray, order: int) -> list[np.ndarray]:
+    """For every order, the n-gram that ends at each token.
 
-    Texts are preceded by begin marks, so that every token has an n-gram of every order.
+    Texts are preceded by begin marks, so that every token has an n-gram of every order. The
+    context of a token is then the n-gram one order shorter at the token before it, or at the
+    first token of a text a run of begin marks.
     """
-    begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, int)
+    begin = _begins(row)
     back = [h]  # the tokens 0, 1, … places before
     for _ in range(1, order):
         shifted = np.concatenate([[BEGIN], back[-1][:-1]])
         shifted[begin] = BEGIN
         back.append(shifted)
-    out: list = [(_number(h, 1), None)]
+    out = [_number(h, 1)]
     for n in range(2, order + 1):
-        context = back[n - 1]
-        for k in range(n - 2, 0, -1):
-            context = T.chain(context, back[k])
-        out.append((_number(T.chain(context, h), n), _number(context, n - 1)))
+        run = back[n - 1]
+        for k in range(n - 2, -1, -1):
+            run = T.chain(run, back[k])
+        out.append(_number(run, n))
     return out
 
 
+def _begins(row: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, np.int64)
+
+
 def _marks(order: int) -> np.ndarray:
     """The contexts of begin marks alone, which every text has once."""
     run, out = np.array([BEGIN]), []
@@ -97,15 +103,6 @@ def _split(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), key.astype(np.uint32)
 
 
-def _pack(bucket: np.ndarray, prints: np.ndarray, *weights: np.ndarray) -> Iterator[tuple]:
-    """One entry a bucket; prints ascend."""
-    order = np.argsort((bucket.astype(np.uint64) << np.uint64(32)) | prints)
-    bucket, prints = bucket[order], prints[order]
-    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else []
-    for a, b in zip(edges[:-1], edges[1:]):
-        yield int(bucket[a]), T.planes(prints[a:b]), *(T.planes(w[order[a:b]]) for w in weights)
-
-
 class _Counter:
     """Pools n-gram or token counts of a task."""
 
@@ -154,7 +151,7 @@ def _bucket_counts(train: DataFrame, settings: Settings, buckets: int) -> DataFr
 
         def flush():
             key, n = pool.take()
-            found = list(_pack(*_split(key, buckets), np.minimum(n, 2**32 - 1).astype(np.uint32)))
+            found = list(T.packed(*_split(key, buckets), np.minimum(n, 2**32 - 1).astype(np.uint32)))
             return pa.record_batch(
                 [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))],
                 ["bucket", "prints", "counts"],
@@ -164,7 +161,7 @@ def _bucket_counts(train: DataFrame, settings: Settings, buckets: int) -> DataFr
             for piece in T.pieces(batch):
                 h, row = tokens(piece.column("text"))
                 marks = np.repeat(_marks(settings.order), piece.num_rows)
-                keys = np.concatenate([marks, *(g for g, _ in grams(h, row, settings.order))])
+                keys = np.concatenate([marks, *grams(h, row, settings.order)])
                 pool.add(*T.pooled(keys, np.ones(len(keys), np.int64)))
                 if pool.size > BUFFER:
                     yield flush()
@@ -178,7 +175,12 @@ def _hash_pair(prints: np.ndarray, bucket, level: int) -> tuple[np.ndarray, np.n
     """Start and step of the positions of (n-gram, level) in its bucket's bits."""
     seed = (np.asarray(bucket).astype(np.uint64) << np.uint64(32)) + prints.astype(np.uint64)
     h = T.mix(seed * np.uint64(0x9FB21C651E98DF25) + np.uint64(level))
-    return h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+    return h, T.mix(h) | np.uint64(1)
+
+
+def _place(a: np.ndarray, size) -> np.ndarray:
+    """The upper half of a hash, scaled to a position below ``size`` (under 2**32)."""
+    return (((a >> np.uint64(32)) * size) >> np.uint64(32)).astype(np.int64)
 
 
 def _levels(counts: np.ndarray, base: float) -> np.ndarray:
@@ -205,8 +207,9 @@ def _build(settings: Settings):
         bits = np.zeros(size, bool)
         for level in range(1, int(levels.max()) + 1):
             a, step = _hash_pair(prints[levels >= level], key[0], level)
-            for i in range(settings.probes):
-                bits[((a + np.uint64(i) * step) % np.uint64(size)).astype(np.int64)] = True
+            for _ in range(settings.probes):
+                bits[_place(a, np.uint64(size))] = True
+                a += step
         return pd.DataFrame({"bucket": [key[0]], "size": [size], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     return build
@@ -243,40 +246,47 @@ class Filter:
         return out
 
     def _holding(self, bucket, prints, alive, level):
-        a, step = _hash_pair(prints[alive], bucket[alive], level)
-        size, start = self.size[bucket[alive]], self.start[bucket[alive]]
+        """Those of ``alive`` that hold every position of a level; misses leave in batches."""
+        at_bucket = bucket[alive]
+        a, step = _hash_pair(prints[alive], at_bucket, level)
+        size, start = self.size[at_bucket], self.start[at_bucket]
+        left = np.ones(len(alive), bool)
         for i in range(self.probes):
-            at = start + ((a + np.uint64(i) * step) % size).astype(np.int64)
-            hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            if not hit.all():
-                alive, a, step, size, start = alive[hit], a[hit], step[hit], size[hit], start[hit]
+            at = start + _place(a, size)
+            hit = self.bits[at >> 3]
+            hit >>= (at & 7).astype(np.uint8)
+            left &= (hit & 1).view(bool)
+            a += step
+            if np.count_nonzero(left) < 0.6 * len(left) or i == self.probes - 1:
+                alive = alive[left]
+                if i < self.probes - 1:
+                    a, step, size, start = a[left], step[left], size[left], start[left]
+                    left = np.ones(len(alive), bool)
         return alive
 
 
-def _score(h: np.ndarray, row: np.ndarray, rows: int, lookup, model: Model) -> np.ndarray:
-    """log10 probability of every row."""
-    value = _level_values(model.settings.base)
-    probability = None
-    for n, (full, context) in enumerate(grams(h, row, model.settings.order), start=1):
-        if n == 1:
-            distinct, where = np.unique(full, return_inverse=True)
-            known = value[lookup(*_split(distinct, model.buckets))][where]
-            probability = (known + 1) / (model.n + model.v + 1)
-            continue
-        distinct, where = np.unique(context, return_inverse=True)
-        total = value[lookup(*_split(distinct, model.buckets))][where]
+def _score(h: np.ndarray, row: np.ndarray, rows: int, distinct: np.ndarray, where: np.ndarray, lookup, model: Model) -> np.ndarray:
+    """log10 probability of every row; ``distinct[where]`` are the tokens."""
+    if not len(h):
+        return np.zeros(rows)
+    value, begin, marks = _level_values(model.settings.base), _begins(row), _marks(model.settings.order)
+    seen = value[lookup(*_split(_number(distinct, 1), model.buckets))][where]
+    probability = (seen + 1) / (model.n + model.v + 1)
+    for n, full in enumerate(grams(h, row, model.settings.order)[1:], start=2):
+        total = np.concatenate([[0], seen[:-1]])
+        total[begin] = value[lookup(*_split(marks[n - 2 : n - 1], model.buckets))]
         seen = np.minimum(value[lookup(*_split(full, model.buckets))], total)
         prior = model.settings.prior[min(n - 2, len(model.settings.prior) - 1)]
         probability = (seen + prior * probability) / (total + prior)
-    return np.bincount(row, np.log10(probability), minlength=rows) if len(row) else np.zeros(rows)
+    return np.bincount(row, np.log10(probability), minlength=rows)
 
 
 def _emit(piece: pa.RecordBatch, lookup, head: tuple[np.ndarray, np.ndarray], model: Model) -> pa.RecordBatch:
     """One row a text, and one a distinct rare token of a text, whose count is yet to be joined."""
     h, row = tokens(piece.column("text"))
     rows = piece.num_rows
-    score = _score(h, row, rows, lookup, model)
     distinct, where = np.unique(h, return_inverse=True)
+    score = _score(h, row, rows, distinct, where, lookup, model)
     at = np.searchsorted(head[0], distinct)
     at[at == len(head[0])] = 0
     common = head[0][at] == distinct if len(head[0]) else np.zeros(len(distinct), bool)
@@ -304,6 +314,11 @@ def _emit(piece: pa.RecordBatch, lookup, head: tuple[np.ndarray, np.ndarray], mo
     )
 
 
+SCORED = (
+    "key long, doc_id string, held_out boolean, h long, times long, n_tokens long, n_known long, base_score double, score double"
+)
+
+
 @dataclass
 class Model:
     """A fitted model: the stored filter, the stored token counts and the totals."""
@@ -323,7 +338,7 @@ class Model:
         """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
         spark = docs.sparkSession
         rows = docs.select(
-            F.monotonically_increasing_id().alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
+            F.monotonically_increasing_id().alias("key"), F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"),
             (F.lit(False) if held_out is None else held_out).alias("held_out"),
         )
         common = self.counts.filter(F.col("total") >= self.limit).select("h", "n").toArrow()
@@ -342,19 +357,12 @@ class Model:
             (F.col("base_score") + F.col("times") * F.log10((c + 1) / d)).alias("base_score"),
         )
         return joined.groupBy("key").agg(
-            F.first("doc_id", True).alias("doc_id"), F.first("held_out").alias("held_out"),
+            F.first("doc_id", True).cast(docs.schema[doc_id].dataType).alias("doc_id"), F.first("held_out").alias("held_out"),
             F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
             F.lit(self.n).cast("long").alias("train_tokens"),
             F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
         ).drop("key")
 
-    def _schema(self, rows: DataFrame) -> str:
-        kind = rows.schema["doc_id"].dataType.simpleString()
-        return (
-            f"key long, doc_id {kind}, held_out boolean, h long, times long, n_tokens long, n_known long, "
-            "base_score double, score double"
-        )
-
     def _near(self, rows: DataFrame, head) -> DataFrame:
         """The whole filter is broadcast."""
         parts = self.filter.select("bucket", "size", "bits").toArrow()
@@ -367,7 +375,7 @@ class Model:
                 for piece in T.pieces(batch):
                     yield _emit(piece, bits.value.levels, head.value, model)
 
-        return rows.mapInArrow(run, self._schema(rows))
+        return rows.mapInArrow(run, SCORED)
 
     def _far(self, rows: DataFrame, head) -> DataFrame:
         """N-grams travel to their buckets and their levels back, block by block."""
@@ -375,18 +383,17 @@ class Model:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         blocks = max(1, math.ceil(size / self.settings.block_bytes))
         dealt = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
-        types = pa.schema([("key", pa.int64()), ("doc_id", _arrow(rows, "doc_id")), ("text", pa.string()), ("held_out", pa.bool_())])
+        types = pa.schema([("key", pa.int64()), ("doc_id", pa.string()), ("text", pa.string()), ("held_out", pa.bool_())])
 
         def wanted(column) -> np.ndarray:
             h, row = tokens(column)
-            found = grams(h, row, model.settings.order)
-            bucket, prints = _split(np.concatenate([k for pair in found for k in pair if k is not None]), model.buckets)
+            bucket, prints = _split(np.concatenate([_marks(model.settings.order), *grams(h, row, model.settings.order)]), model.buckets)
             return np.unique((bucket.astype(np.uint64) << np.uint64(32)) | prints)
 
         def ask(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
             code = wanted(pa.array(part["text"], pa.string(), from_pandas=True))
             bucket = (code >> np.uint64(32)).astype(np.int64)
-            found = [(key[0], b, p) for b, p in _pack(bucket, code.astype(np.uint32))]
+            found = [(key[0], b, p) for b, p in T.packed(bucket, code.astype(np.uint32))]
             return pd.DataFrame(found, columns=["block", "bucket", "prints"])
 
         def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -414,13 +421,7 @@ class Model:
         told = asked.groupBy("bucket").cogroup(self.filter.groupBy("bucket")).applyInPandas(
             answer, "block long, bucket long, prints binary, levels binary"
         )
-        return told.groupBy("block").cogroup(dealt.groupBy("block")).applyInPandas(finish, self._schema(rows))
-
-
-def _arrow(df: DataFrame, name: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(df.schema[name].dataType)
+        return told.groupBy("block").cogroup(dealt.groupBy("block")).applyInPandas(finish, SCORED)
 
 
 def fit(docs: DataFrame, text: str = "text", train: Column | None = None, settings: Settings = Settings()) -> Model:
