@@ -356,12 +356,12 @@ class Model:
             (F.col("n_known") + F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"),
             (F.col("base_score") + F.col("times") * F.log10((c + 1) / d)).alias("base_score"),
         )
-        return joined.groupBy("key").agg(
-            F.first("doc_id", True).cast(docs.schema[doc_id].dataType).alias("doc_id"), F.first("held_out").alias("held_out"),
+        # Every row of a key has its id: grouping by both keeps the hash aggregate.
+        return joined.groupBy("key", "doc_id", "held_out").agg(
             F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
             F.lit(self.n).cast("long").alias("train_tokens"),
             F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
-        ).drop("key")
+        ).drop("key").withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
 
     def _near(self, rows: DataFrame, head) -> DataFrame:
         """The whole filter is broadcast."""
