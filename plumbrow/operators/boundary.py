@@ -38,6 +38,7 @@ def boundary_report(df: DataFrame, scaled: str) -> DataFrame:
     )
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     out = total("below") + total("above")
+    # The field names of the published report.
     return rows.agg(
         total("n").alias("test_values_total"),
         total("below").alias("values_below_minus1_before_clipping"),

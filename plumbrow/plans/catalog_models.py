@@ -1,5 +1,7 @@
-"""Named queries that fit models. Budgets (epochs, trees, rounds, trials) are kept small;
-the rows are always all rows of the table."""
+"""Named queries that fit models. Budgets (epochs, trees, rounds, trials) are kept small.
+
+All rows of the tables are read; the two grids fit their classifier on 15,000 training rows at most.
+"""
 
 from __future__ import annotations
 
