@@ -225,15 +225,15 @@ class Filter:
     probes: int
 
     @classmethod
-    def of(cls, rows, buckets: int, probes: int) -> Filter:
-        """From (bucket, size, bits) rows; a bucket without a row is empty."""
+    def of(cls, rows, buckets: int, probes: int, length: int) -> Filter:
+        """From (bucket, size, bits) rows of ``length`` bytes in all; a bucket without a row is empty."""
         start, size = np.zeros(buckets, np.int64), np.zeros(buckets, np.uint64)
-        parts, at = [], 0
+        bits, at = np.empty(length, np.uint8), 0
         for bucket, n, blob in rows:
             start[bucket], size[bucket] = at * 8, n
-            parts.append(np.frombuffer(blob, np.uint8))
+            bits[at : at + len(blob)] = np.frombuffer(blob, np.uint8)
             at += len(blob)
-        return cls(np.concatenate(parts) if parts else np.empty(0, np.uint8), start, size, probes)
+        return cls(bits, start, size, probes)
 
     def levels(self, bucket: np.ndarray, prints: np.ndarray) -> np.ndarray:
         """Probe level after level until the first miss."""
@@ -347,7 +347,7 @@ class Model:
         head = spark.sparkContext.broadcast((h[order], common["n"].to_numpy()[order]))
         size = self.filter.agg(F.sum(F.length("bits"))).first()[0] or 0
         near = size <= self.settings.broadcast_bytes
-        flat = self._near(rows, head) if near else self._far(rows, head)
+        flat = self._near(rows, head, size) if near else self._far(rows, head)
         rare = self.counts.filter(F.col("total") < self.limit).select(F.col("h").alias("token"), F.col("n").alias("c"))
         d = float(self.n + self.v + 1)
         c = F.coalesce("c", F.lit(0))
@@ -363,11 +363,10 @@ class Model:
             F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
         ).drop("key").withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
 
-    def _near(self, rows: DataFrame, head) -> DataFrame:
-        """The whole filter is broadcast."""
-        parts = self.filter.select("bucket", "size", "bits").toArrow()
-        columns = parts["bucket"].to_pylist(), parts["size"].to_pylist(), (b.as_buffer() for b in parts["bits"])
-        bits = rows.sparkSession.sparkContext.broadcast(Filter.of(zip(*columns), self.buckets, self.settings.probes))
+    def _near(self, rows: DataFrame, head, size: int) -> DataFrame:
+        """The whole filter, of ``size`` bytes, is broadcast; the driver holds one copy of it."""
+        parts = self.filter.select("bucket", "size", "bits").toLocalIterator()
+        bits = rows.sparkSession.sparkContext.broadcast(Filter.of(parts, self.buckets, self.settings.probes, size))
         model = self._plain()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,7 +396,9 @@ class Model:
             return pd.DataFrame(found, columns=["block", "bucket", "prints"])
 
         def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-            part = Filter.of(held[["bucket", "size", "bits"]].itertuples(index=False), model.buckets, model.settings.probes)
+            part = Filter.of(
+                held[["bucket", "size", "bits"]].itertuples(index=False), model.buckets, model.settings.probes, sum(map(len, held["bits"])),
+            )
             levels = [
                 part.levels(np.full(len(p) // 4, b), T.from_planes(p, "u4")).astype(np.uint8).tobytes()
                 for b, p in zip(asked["bucket"], asked["prints"])

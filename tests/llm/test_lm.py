@@ -92,7 +92,7 @@ def test_filter_returns_quantised_counts():
     import pandas as pd
 
     built = lm._build(settings)((3,), pd.DataFrame({"bucket": [3], "prints": [T.planes(prints)], "counts": [T.planes(counts.astype(np.uint32))]}))
-    f = lm.Filter.of(built.itertuples(index=False), 5, settings.probes)
+    f = lm.Filter.of(built.itertuples(index=False), 5, settings.probes, len(built["bits"][0]))
     got = f.levels(np.full(5000, 3), prints)
     want = lm._levels(counts, settings.base)
     assert (got >= want).all() and (got == want).mean() > 0.98
