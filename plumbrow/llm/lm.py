@@ -34,7 +34,7 @@ from plumbrow.session import scratch_path, settle
 END = np.uint64(0x5851F42D4C957F2D)
 BEGIN = np.uint64(0x14057B7EF767814F)
 HEAD = 1 << 21  # at most so many tokens can each hold a share of 1 / HEAD of all tokens
-BUFFER = 2_000_000  # tokens that a task pools before it passes them on
+BUFFER = 1_000_000  # tokens that a task pools before it passes them on
 
 
 @dataclass(frozen=True)
