@@ -3,8 +3,10 @@
 Patterns are matched leftmost without overlap, by kind. Beside them, every candidate string (a
 long run of one character class) is scanned by a sliding window. The window keeps the count of
 every character and the sum of ``c log2 c``; one character in and one out change two terms of
-the sum, so its Shannon entropy ``log2 w - sum / w`` costs the same for any window. A candidate is
-reported from the start of its first window to the end of its last window at or above the
+the sum, so its Shannon entropy ``log2 w - sum / w`` costs the same for any window. Strings of hex
+digits, of small letters and digits, of capitals and digits, and of base64 characters are classes of
+their own, since fewer characters give less entropy; a string may be reported by several. Sample words
+hide the path part that holds them. A candidate is reported from the start of its first window to the end of its last window at or above the
 threshold of its class, unless it matches the allow-list or lies inside a pattern's span. The
 allow-list never hides a pattern's span.
 
@@ -42,18 +44,34 @@ class CharacterClass:
     threshold: float
 
 
+_PART = "[0-9A-Za-z+_-]"  # a path part of base64 characters
+_SAMPLE = "(?i:example|0123456789|abcdefghij)"  # samples and alphabets
+_HEX, _LOWER, _UPPER = "0123456789ABCDEFabcdef", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _plain(run: str, letters: str) -> str:
+    """Whole runs of 20 and more that hold ``letters``; none beside a sample word of the same path part."""
+    return f"(?<!{run})(?<!(?i:example)[-_+])(?={letters})(?!{_PART}*{_SAMPLE}){run}{{20,}}"
+
+
+# Thresholds: of random strings with these characters, one in a thousand has a lower entropy in its only window.
 CLASSES = (
-    CharacterClass("hex_entropy", "[0-9A-Fa-f]{20,}", "0123456789ABCDEFabcdef", 20, 3.0),
+    CharacterClass("hex_entropy", _plain("[0-9A-Fa-f]", ""), _HEX, 20, 2.7),
     CharacterClass(
-        "base64_entropy", "[0-9A-Za-z+/_-]{20,}",
-        "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-", 20, 3.9,
+        # Neighbouring path parts without a sample word, in runs of 20 and more.
+        "base64_entropy",
+        f"(?<!{_PART})(?=[0-9A-Za-z+/_-]{{20}})(?!{_PART}*{_SAMPLE})(?={_PART}|/(?!{_PART}*{_SAMPLE}))"
+        f"{_PART}*+(?:/(?!{_PART}*{_SAMPLE}){_PART}*+)*+",
+        "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-", 20, 3.45,
     ),
+    CharacterClass("lower_entropy", _plain("[0-9a-z]", "[a-z]*[0-9]"), _LOWER, 20, 3.2),
+    CharacterClass("upper_entropy", _plain("[0-9A-Z]", "[A-Z]*[0-9]"), _UPPER, 20, 3.1),  # as of base32
 )
+_WORD = "(?:[a-z]+(?:[A-Z][a-z]{2,})*+|[A-Z][a-z]*(?:[A-Z][a-z]{2,})*+|[A-Z]{2,15}|[0-9]+)(?![0-9A-Za-z])"
 ALLOW = (
     "[0-9]+", "[0-9]{1,4}([-_/][0-9]{1,4})+",  # numbers and dates
     "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUIDs
-    "[A-Za-z]?[a-z]*([-_/]+[A-Za-z]?[a-z]*)*",  # words and paths of words
-    ".*(?i:example|0123456789|abcdefghij).*",  # samples and alphabets
+    f"[-_/]*+(?:{_WORD}(?:[-_/]++{_WORD})*+[-_/]*+)?",  # words and numbers, and paths of them
 )
 
 

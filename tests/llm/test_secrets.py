@@ -1,9 +1,12 @@
 """Secret spans against Python's regular expressions and entropies computed anew for every window."""
 
 import math
+import random
 import re
+import string
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbrow.llm import secrets
@@ -75,3 +78,38 @@ def test_whole_table(spark, sf):
     for r in secrets.find_secrets(docs, keep=["doc_id"]).collect():
         base, spans = brute(texts[r.doc_id])
         assert [tuple(s) for s in r.base] == base and [tuple(s) for s in r.spans] == spans
+
+
+LOW, UP, DIGIT = string.ascii_lowercase, string.ascii_uppercase, string.digits
+
+
+@pytest.mark.parametrize("alphabet", ["0123456789abcdef", LOW + DIGIT, UP + DIGIT, UP + "234567", LOW + UP + DIGIT, LOW + UP + DIGIT + "+/", LOW + UP + DIGIT + "-_"])
+def test_random_tokens_are_found(spark, alphabet):
+    rng = random.Random(31)
+    tokens = ["".join(rng.choices(alphabet, k=k)) for k in (20, 24, 32) for _ in range(500)]
+    docs = spark.createDataFrame([(i, f"key {t} .") for i, t in enumerate(tokens)], "doc_id long, text string")
+    found = secrets.find_secrets(docs, keep=["doc_id"]).filter("size(spans) > 0").count()
+    assert found >= 0.99 * len(tokens)
+
+
+def test_sample_words_hide_their_path_part_only(spark):
+    token = "4fK9zQ1LmX7pR2sT8vW3yB6nC5dE0gH"
+    texts = {
+        f"docs/example/{token}": True, f"example/0123456789/{token}/x": True, f"{token}/example": True, f"/example/{token.lower()}": True,
+        f"docs/example{token}": False, f"example-{token.lower()}": False, f"{token}0123456789": False, "/example/0123456789abcdefghij/EXAMPLE": False,
+        "articles/2021/the-quick-brown-fox-of-2020": False, "getUserAccountFromDatabase": False, "MAX_NUMBER_OF_CONNECTIONS": False,
+    }
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in secrets.find_secrets(docs, keep=["text"]).collect():
+        assert bool(r.spans) == texts[r.text], r.text
+        assert [tuple(s) for s in r.spans] == brute(r.text)[1]
+
+
+def test_long_runs_and_many_parts(spark):
+    rng = random.Random(32)
+    blob = "".join(rng.choices(LOW + UP + DIGIT + "+/", k=20_000))
+    docs = spark.createDataFrame([(0, "a/" * 50_000 + "A9"), (1, "a" * 100_000), (2, blob), (3, "A-b/" * 25_000)], "doc_id long, text string")
+    allowed = "|".join(f"(?:{a})" for a in secrets.ALLOW)
+    for c in secrets.CLASSES:
+        got = docs.select(F.size(secrets.matches(F.col("text"), c.pattern)).alias("n"), F.col("text").rlike(f"^(?:{allowed})$").alias("ok")).collect()
+        assert all(r.n == len(re.findall(c.pattern, d.text)) for r, d in zip(got, docs.collect()))
