@@ -37,8 +37,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every document of the mix."""
-    placed = sharding.reshard(docs, text_shard(F.col("text"), OLD_SHARDS), NEW_SHARDS)
+    """Shard and slot of every document of the mix, read from the written shards."""
+    placed = sharding.reshard_files(docs, text_shard(F.col("text"), OLD_SHARDS), NEW_SHARDS, scratch_path(spark, "shards"))
     return placed.select("doc_id", "size", "text_crc32", "shard", "slot")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbrow.llm import decontaminate, jaccard, lm, mixing, search, secrets, sharding, suffixes, toxicity, urls
+from plumbrow.session import scratch_path
 from plumbrow.sources.views import table
 
 
@@ -46,9 +47,9 @@ def text_shard(text: Column, shards: int) -> Column:
 
 
 def op5_reshard(spark: SparkSession, sf: str) -> DataFrame:
-    """From 12 shards by CRC-32 of the text to 8 of equal bytes."""
+    """From 12 shards by CRC-32 of the text to 8 of equal bytes; the rows are those of the written files."""
     docs = table(spark, sf, "documents")
-    placed = sharding.reshard(docs, text_shard(F.col("text"), OLD_SHARDS), NEW_SHARDS)
+    placed = sharding.reshard_files(docs, text_shard(F.col("text"), OLD_SHARDS), NEW_SHARDS, scratch_path(spark, "shards"))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

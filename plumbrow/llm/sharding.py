@@ -5,11 +5,12 @@ these sizes alone; bytes that stay in the shard of the same number cost nothing,
 a byte (or what a cost function says). Rows are dealt to blocks inside their old shard by a
 hash of the text, so that equal texts share a block; whole blocks then fill the flow, the large
 ones first. Only a block above half a shard is split, by row. Blocks are cut further into cells
-of bounded size, in which rows are numbered, so no task sorts a whole shard.
+of bounded size, in which rows are numbered, so no task sorts a whole shard. Last the shards that
+gain or lose rows are written anew, in parts of bounded size; the files of the others stay.
 
 The tables that the driver sees are old shards and cells, of which there are about
 ``total bytes / cell bytes``. Null and empty texts have size 1. Repeated rows and equal texts
-share a shard; an empty table gives no rows; other columns are not read.
+share a shard; an empty table gives no rows; other columns are only read to be written.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from plumbrow.session import settle
 
 CELLS = 1024  # cells per new shard, unless they grow over CELL_BYTES
 CELL_BYTES = 256 << 20
+FILE_BYTES = 32 << 20  # texts of a part of a shard, which one task writes
 NEAR_CELLS = 1_000_000  # a table of up to so many cells (some 50 MB) is broadcast
 
 
@@ -107,58 +109,121 @@ def place_blocks(
     return out
 
 
-def reshard(
-    docs: DataFrame, old: Column, shards: int, capacities: Sequence[int] | None = None,
-    cost: Callable[[int, int], float] = lambda old, new: float(old != new), doc_id: str = "doc_id", text: str = "text",
-) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard and slot of every row.
-
-    ``old`` numbers the shard in which a row lies now, from 0. Without ``capacities`` the new
-    shards are to be equally large.
-    """
-    spark = docs.sparkSession
+def _measured(docs: DataFrame, old: Column, doc_id: str, text: str, *more: Column) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = settle(docs.select(
+    return docs.select(
         F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"), old.cast("int").alias("old_shard"), F.xxhash64(body).alias("group"),
-        F.xxhash64(F.col(doc_id), body, F.lit(1)).alias("tie"),
-    ))
+        F.xxhash64(F.col(doc_id), body, F.lit(1)).alias("tie"), *more,
+    )
+
+
+def _layout(
+    rows: DataFrame, shards: int, capacities: Sequence[int] | None, cost: Callable[[int, int], float],
+) -> tuple[Callable[[DataFrame], DataFrame], set[int], set[int]]:
+    """What deals measured rows to shard, part and slot; the shards, old and new, that change; those that hold rows."""
+    spark = rows.sparkSession
     olds = {r.old_shard: r.size for r in rows.groupBy("old_shard").agg(F.sum("size").alias("size")).collect()}
     total = sum(olds.values())
     if not total:
-        return rows.select("doc_id", "size", "text_crc32", "old_shard", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        zero = F.lit(0).cast("long")
+        return lambda more: more.withColumns({"shard": F.lit(0), "part": zero, "slot": zero}), set(), set()
     if capacities is None:
         capacities = [total // shards + (j < total % shards) for j in range(shards)]
     cell = max(1, min(math.ceil(total / (shards * CELLS)), CELL_BYTES))
     parts = spark.createDataFrame([(k, math.ceil(v / cell)) for k, v in olds.items()], "o int, blocks long")
-    rows = rows.join(F.broadcast(parts), F.col("old_shard") == F.col("o")).withColumn("block", F.pmod("group", "blocks")).drop("o", "blocks")
-    found = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("size")).filter(F.col("size") > 2 * cell).collect()
+
+    def blocked(more: DataFrame) -> DataFrame:
+        more = more.join(F.broadcast(parts), F.col("old_shard") == F.col("o"))
+        return more.withColumn("block", F.pmod("group", "blocks")).drop("o", "blocks")
+
+    found = blocked(rows).groupBy("old_shard", "block").agg(F.sum("size").alias("size")).filter(F.col("size") > 2 * cell).collect()
     half = max(min(capacities) // 2, 1)
     large = spark.createDataFrame(
         [(r.old_shard, r.block, math.ceil(r.size / cell), r.size > half) for r in found], "o int, b long, cells long, loose boolean"
     )
-    rows = rows.join(F.broadcast(large), (F.col("old_shard") == F.col("o")) & (F.col("block") == F.col("b")), "left")
-    rows = rows.withColumn("cell", F.coalesce(F.pmod("tie", "cells"), F.lit(0))).withColumn("loose", F.coalesce("loose", F.lit(False)))
-    rows = rows.drop("o", "b", "cells")
-    cells = rows.groupBy("old_shard", "block", "cell", "loose").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+
+    def celled(more: DataFrame) -> DataFrame:
+        more = blocked(more).join(F.broadcast(large), (F.col("old_shard") == F.col("o")) & (F.col("block") == F.col("b")), "left")
+        more = more.withColumn("cell", F.coalesce(F.pmod("tie", "cells"), F.lit(0))).withColumn("loose", F.coalesce("loose", F.lit(False)))
+        return more.drop("o", "b", "cells")
+
+    cells = celled(rows).groupBy("old_shard", "block", "cell", "loose").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     cells.sort(key=lambda r: (r.old_shard, r.block, r.cell))
     unit, names = defaultdict(int), {}
     for r in cells:  # what moves together: a block, or a cell of a block above half a shard
         unit[r.old_shard, names.setdefault((r.old_shard, r.block, r.cell if r.loose else -1), len(names))] += r.size
     placed = place_blocks([(o, b, size) for (o, b), size in unit.items()], capacities, cost)
-    filled, table = [0] * shards, []
+    filled, weight, table, changed = [0] * shards, [0] * shards, [], set()
     for r in cells:
         shard = placed[r.old_shard, names[r.old_shard, r.block, r.cell if r.loose else -1]]
-        table.append((r.old_shard, r.block, r.cell, shard, filled[shard]))
+        table.append((r.old_shard, r.block, r.cell, shard, weight[shard] // FILE_BYTES, filled[shard]))
         filled[shard] += r.n
-    where = spark.createDataFrame(table, "o int, b long, c long, shard int, first long")
+        weight[shard] += r.size
+        if r.old_shard != shard:
+            changed |= {r.old_shard, shard}
+    where = spark.createDataFrame(table, "o int, b long, c long, shard int, part long, first long")
     if len(table) <= NEAR_CELLS:
         where = F.broadcast(where)
-    same = (F.col("old_shard") == F.col("o")) & (F.col("block") == F.col("b")) & (F.col("cell") == F.col("c"))
-    order = Window.partitionBy("old_shard", "block", "cell").orderBy("tie", "doc_id")
-    return rows.join(where, same).select(
-        "doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.row_number().over(order) - 1).alias("slot")
-    )
+
+    def deal(more: DataFrame) -> DataFrame:
+        same = (F.col("old_shard") == F.col("o")) & (F.col("block") == F.col("b")) & (F.col("cell") == F.col("c"))
+        order = Window.partitionBy("shard", "part", "old_shard", "block", "cell").orderBy("tie", "doc_id")
+        # Rows of a part of a shard meet in one task, which numbers and writes them.
+        dealt = celled(more).join(where, same).repartition("shard", "part")
+        return dealt.withColumn("slot", F.col("first") + F.row_number().over(order) - 1)
+
+    return deal, changed, {t[3] for t in table}
+
+
+def reshard(
+    docs: DataFrame, old: Column, shards: int, capacities: Sequence[int] | None = None,
+    cost: Callable[[int, int], float] = lambda old, new: float(old != new), doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """doc_id, size, text_crc32, old_shard, shard and slot of every row; nothing is rewritten.
+
+    ``old`` numbers the shard in which a row lies now, from 0. Without ``capacities`` the new
+    shards are to be equally large.
+    """
+    rows = settle(_measured(docs, old, doc_id, text))
+    deal, _, _ = _layout(rows, shards, capacities, cost)
+    return deal(rows).select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot")
+
+
+def reshard_files(
+    docs: DataFrame, old: Column, shards: int, path: str, capacities: Sequence[int] | None = None,
+    cost: Callable[[int, int], float] = lambda old, new: float(old != new), doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """Place the rows and write the changed shards under ``path``; doc_id, size, text_crc32, shard and slot of every row.
+
+    The files hold all columns of ``docs`` and the slot, one folder ``shard=...`` a shard; columns
+    ``shard`` and ``slot`` of ``docs`` are replaced. Rows of written shards are read from the files.
+    Shards that keep their rows are not touched, and their rows are those of the placement. ``docs`` may
+    be the layout under ``path`` itself, if ``old`` is the number of the folder. No key is needed.
+    """
+    rows = settle(_measured(docs, old, doc_id, text))
+    deal, changed, held = _layout(rows, shards, capacities, cost)
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    whole = deal(_measured(docs, old, doc_id, text, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")))
+    whole = whole.filter(F.col("shard").isin(sorted(changed & held))).select("row.*", "slot", "shard")
+    stay = deal(rows).filter(~F.col("shard").isin(sorted(changed))).select("doc_id", "size", "text_crc32", "shard", "slot")
+    if not changed:
+        return stay
+    _replace(whole, path, changed, held)
+    files = docs.sparkSession.read.schema(whole.schema).parquet(path).filter(F.col("shard").isin(sorted(changed & held)))
+    body = F.coalesce(F.col(text), F.lit(""))
+    return files.select(
+        F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), "shard", "slot"
+    ).unionByName(stay)
+
+
+def _replace(rows: DataFrame, path: str, changed: set[int], held: set[int]) -> None:
+    """Write ``rows`` by shard over the folders of their shards; folders of changed shards without rows go."""
+    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    jvm, conf = rows.sparkSession._jvm, rows.sparkSession._jsc.hadoopConfiguration()
+    for shard in sorted(changed - held):
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+        folder.getFileSystem(conf).delete(folder, True)
 
 
 def changed_shards(placed: DataFrame, shards: int) -> list[int]:
@@ -167,12 +232,24 @@ def changed_shards(placed: DataFrame, shards: int) -> list[int]:
     return sorted({s for r in moves for s in r if s < shards})
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str, shards: int, doc_id: str = "doc_id") -> list[int]:
-    """Write the rows of changed shards under ``path``, one folder a shard; returns their numbers.
+def rewrite(docs: DataFrame, placed: DataFrame, path: str, shards: int, doc_id: str = "doc_id", text: str = "text") -> list[int]:
+    """Write the rows of changed shards of a placement under ``path``, one folder a shard; returns their numbers.
 
-    ``docs`` must have unique ids here. Shards that keep their rows are not touched.
+    Rows are matched by id and text; those that share both are matched one to one, in any order.
+    Shards that keep their rows are not touched. :func:`reshard_files` places and writes in one go.
     """
     changed = changed_shards(placed, shards)
-    rows = placed.filter(F.col("shard").isin(changed)).select(F.col(doc_id).alias("_id"), "shard", "slot")
-    docs.join(rows, F.col(doc_id).eqNullSafe(F.col("_id"))).drop("_id").write.partitionBy("shard").mode("overwrite").parquet(path)
+    gone = {r.old_shard for r in placed.select("old_shard").distinct().collect() if r.old_shard >= shards}
+    body = F.coalesce(F.col(text), F.lit(""))
+    nth = F.row_number().over(Window.partitionBy("_id", "_size", "_crc").orderBy("_id"))
+    left = docs.drop("shard", "slot")
+    names = left.columns
+    left = left.withColumns({"_id": F.col(doc_id), "_size": (F.octet_length(body) + 1).cast("long"), "_crc": F.crc32(body)}).withColumn("_nth", nth)
+    right = placed.select(F.col("doc_id").alias("_i"), F.col("size").alias("_s"), F.col("text_crc32").alias("_c"), "shard", "slot")
+    right = right.withColumn("_n", F.row_number().over(Window.partitionBy("_i", "_s", "_c").orderBy("shard", "slot")))
+    right = settle(right.filter(F.col("shard").isin(changed)))
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_size") == F.col("_s")) & (F.col("_crc") == F.col("_c")) & (F.col("_nth") == F.col("_n"))
+    held = {r.shard for r in right.select("shard").distinct().collect()}
+    if changed or gone:
+        _replace(left.join(right, same).select(*names, "slot", "shard"), path, {*changed, *gone}, held)
     return changed

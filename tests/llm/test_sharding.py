@@ -103,3 +103,46 @@ def test_repeated_rows_and_empty_table(spark):
     got = sharding.reshard(df, F.lit(0), 2).collect()
     assert len(got) == 6 and len({(r.shard, r.slot) for r in got}) == 6
     assert sharding.reshard(df.limit(0), F.lit(0), 2).count() == 0
+
+
+def test_files_of_a_layout_are_rewritten_in_place(spark, tmp_path):
+    """Repeated rows stay as often as they were, untouched shards keep their files, shards that are gone leave none."""
+    path = str(tmp_path / "layout")
+    rows = [(i, f"text {i % 50:03d}", "x") for i in range(600)] * 2 + [(None, "null id", "y")] * 6 + [(7, None, "z")] * 2
+    old = F.when(F.col("n") < 150, 0).when(F.col("n") < 300, 1).otherwise(2 + F.col("n") % 2)
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, other string, n int")
+    df.withColumn("shard", old).write.partitionBy("shard").parquet(path)
+    files = lambda k: sorted(p.name for p in (tmp_path / "layout" / f"shard={k}").glob("*.parquet"))
+    before = files(0)
+    here = spark.read.parquet(path)
+    size = {r.shard: r.s for r in here.groupBy("shard").agg(F.sum(F.octet_length("text") + 1).alias("s")).collect()}
+    got = sharding.reshard_files(here, F.col("shard"), 3, path, [size[0], size[1] + size[2], size[3] + 200]).collect()
+    assert files(0) == before and not (tmp_path / "layout" / "shard=3").exists()
+    back = spark.read.schema("doc_id long, text string, other string, n int, slot long, shard int").parquet(path).collect()
+    assert sorted(r.n for r in back) == list(range(len(rows)))
+    assert all((r.doc_id, r.text, r.other) == rows[r.n] for r in back)
+    for k in range(3):
+        placed = sorted((r.slot, r.doc_id or -1, r.size) for r in got if r.shard == k)
+        assert [p[0] for p in placed] == list(range(len(placed)))
+        mine = sorted((r.slot, r.doc_id or -1, len((r.text or "").encode()) + 1) for r in back if r.shard == k and k)
+        assert not k or mine == placed
+
+
+def test_rewrite_keeps_repeated_rows_and_other_shards(spark, tmp_path):
+    df = spark.createDataFrame([(i % 40, f"text {i % 40:03d}") for i in range(400)], "doc_id long, text string")
+    path = str(tmp_path / "out")
+    df.withColumn("shard", F.lit(0)).limit(5).write.partitionBy("shard").parquet(path)
+    old = F.when(F.col("doc_id") < 30, F.pmod("doc_id", F.lit(3))).otherwise(4)
+    placed = sharding.reshard(df, old, 4, [900, 900, 900, 900]).cache()
+    assert sharding.rewrite(df, placed, path, 4) == [3]
+    back = spark.read.parquet(path)
+    assert back.filter("shard = 3").count() == 100 and back.filter("shard = 0").count() == 5
+
+
+def test_query_writes_its_shards(spark, sf, monkeypatch, tmp_path):
+    monkeypatch.setattr(queries, "scratch_path", lambda spark, name: str(tmp_path / name), raising=False)
+    got = queries.op5_reshard(spark, sf).collect()
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted((r.shard, r.slot, r.doc_id) for r in got) == sorted((r.shard, r.slot, r.doc_id) for r in back.collect())
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert sorted(map(repr, back.select(*docs.columns).collect())) == sorted(map(repr, docs.collect()))
