@@ -5,10 +5,11 @@ Every source gets a target, a number of words to take. A document of a source wi
 ``r - floor(r)``. Which documents are taken once more is drawn by the cube method: the
 probabilities of three documents move along the direction that keeps both their number and their
 words, until one of them is 0 or 1; so document and word totals of a source stay where they are.
-That runs in blocks of bounded size; what each block leaves undecided (two documents at most)
-moves on to the next round, until a source fits one block. There the flight stops short of the
-last eight documents. They and the two left over are the landing problem: of all their outcomes
-the one nearest to the source's words is taken.
+That runs in blocks of bounded size; what each block leaves undecided (two documents, and its part
+of a reserve of eight) moves on to the next round, until the source fits one block. There the flight
+stops short of the last eight documents. They and the two left over are the landing problem: of all
+their outcomes the one nearest to the source's words is taken. Every source lands in the round in
+which it fits, whatever the size of the others.
 
 Blocks, their order and the random steps follow from the rows alone, so reruns agree. Null texts
 have size 0, a null source is a source of its own and the last. Repeated rows are drawn each.
@@ -17,6 +18,7 @@ An empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Sequence
 
@@ -98,13 +100,16 @@ def landing(p: list[float], size: list[int], open_: list[int]) -> None:
         p[i] = float(mask >> n & 1)
 
 
-def _draw(seed: int, names: list[str], last: bool):
+def _draw(seed: int, names: list[str], block_rows: int):
     def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        blocks = -(-int(rows["remain"].iloc[0]) // block_rows)
+        last = blocks <= 1
+        reserve = LANDING if last else min(-(-LANDING // blocks), block_rows // 8)
         rows = rows.sort_values(["tie", "size"], kind="stable").reset_index(drop=True)
         p, size = rows["p"].tolist(), rows["size"].tolist()
         generator = np.random.default_rng([seed, int(key[0]) & 0xFFFFFFFF, int(key[1]) & 0xFFFFFFFF])
         draws = iter(generator.random(len(p) + 3).tolist())
-        held_back = [i for i in range(len(p)) if 0 < p[i] < 1][-LANDING:] if last else []
+        held_back = [i for i in range(len(p)) if 0 < p[i] < 1][-reserve:] if reserve else []
         start = held_back[0] if held_back else len(p)
         head = p[:start]
         open_ = flight(head, size, lambda: next(draws))
@@ -146,22 +151,23 @@ def mix_sources(
         "doc_id", "tie", "size", "number", "n", "source_size", "target", F.floor("rate").alias("base"),
         (F.col("rate") - F.floor("rate")).alias("p"),
     )
-    largest = max((r.n for r in totals), default=0)
     done, names, schema = None, state.columns, state.schema
-    for turn in range(99):
-        blocks = math.ceil(largest / BLOCK_ROWS)
-        last = blocks <= 1
-        # Later rounds hold two rows of each block at most, so a source never needs more blocks than the largest.
-        own = F.ceil(F.col("n") / BLOCK_ROWS) if turn == 0 else F.lit(blocks)
-        block = F.pmod(F.xxhash64("tie", F.lit(seed + turn)), F.greatest(own, F.lit(1)))
-        drawn = state.withColumn("block", block).groupBy("number", "block").applyInPandas(_draw(seed + turn, names, last), schema)
-        drawn = settle(drawn)
-        decided = drawn if last else drawn.filter("p = 0 OR p = 1")
+    remain, largest = F.col("n"), max((r.n for r in totals), default=0)
+    for turn in itertools.count():
+        block = F.pmod(F.xxhash64("tie", F.lit(seed + turn)), F.greatest(F.ceil(F.col("remain") / BLOCK_ROWS), F.lit(1)))
+        state = state.withColumn("remain", remain).withColumn("block", block)
+        drawn = settle(state.groupBy("number", "block").applyInPandas(_draw(seed + turn, names, BLOCK_ROWS), schema))
+        decided = drawn.filter("p = 0 OR p = 1")
         done = decided if done is None else done.unionByName(decided)
-        if last:
+        if largest <= BLOCK_ROWS:
             break
+        # Only sources of more than one block have rows left; they are joined with their numbers of rows.
         state = drawn.filter("p > 0 AND p < 1")
-        largest = state.groupBy("number").count().agg(F.max("count")).first()[0] or 0
+        left = settle(state.groupBy(F.col("number").alias("_number")).agg(F.count("*").alias("_left")))
+        largest = left.agg(F.max("_left")).first()[0] or 0
+        if not largest:
+            break
+        state, remain = state.join(F.broadcast(left), F.col("number") == F.col("_number")).select(*names, "_left"), F.col("_left")
     copies = (F.col("base") + F.col("p")).cast("long")
     return done.select(
         F.col("doc_id").cast(docs.schema[doc_id].dataType).alias("doc_id"), "tie", "size", "source_size", "target",

@@ -90,3 +90,31 @@ def test_repeated_rows_and_empty_table(spark):
     got = mixing.mix_sources(df, lambda n: 1.0).collect()
     assert len(got) == 10 and abs(sum(r.taken for r in got) - 42) <= 3
     assert mixing.mix_sources(df.limit(0), lambda n: 1.0).count() == 0
+
+
+def test_a_source_lands_whatever_the_others_are(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 64)
+    rng = random.Random(12)
+    small = [(i, "w " * rng.randint(100, 900), f"a{i % 4}") for i in range(240)]
+    hot = [(1000 + i, "w " * rng.randint(100, 900), "z") for i in range(700)]
+    middle = [(2000 + i, "w " * rng.randint(100, 900), "y") for i in range(100)]  # two blocks
+
+    def taken(rows):
+        own = defaultdict(int)
+        for _, t, s in rows:
+            own[s] += len(WORD.findall(t))
+        weights = [own[s] for s in sorted(own)]  # so that every source has the same rate
+        got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), lambda n: float(weights[n])).collect()
+        assert len(got) == len(rows)
+        missed = defaultdict(float)
+        for r in got:
+            missed[own_of[r.doc_id]] += r.taken - r.target / len_of[own_of[r.doc_id]]
+        return {r.doc_id: r.taken for r in got}, missed
+
+    own_of = {i: s for i, _, s in small + hot + middle}
+    len_of = {s: sum(x == s for x in own_of.values()) for s in own_of.values()}
+    alone, _ = taken(small)
+    beside, missed = taken(small + middle + hot)
+    assert alone == {i: n for i, n in beside.items() if i < 1000}
+    # Ten documents have a thousand outcomes; with four the nearest is off by tens of words.
+    assert all(abs(x) <= 15 for x in missed.values()), dict(missed)
