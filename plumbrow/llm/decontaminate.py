@@ -1,15 +1,16 @@
 """Benchmark passages in documents, found by the q-gram lemma and verified by banded alignment.
 
 Texts are compared as bytes, with the capitals of ASCII and Latin-1 as small letters and runs of space
-as one space. Every item is cut into
-overlapping windows; a window occurs in a text if it aligns to a part of it with at most ``edits``
+as one space. Every item is cut into short windows at a small stride, so that an excerpt of ``window + stride - 1``
+bytes holds a whole one; a window occurs in a text if it aligns to a part of it with at most ``edits``
 insertions, deletions and replacements, which is a share of its length. Such an occurrence of a window of m
 bytes with e edits shares at least ``m + 1 - q - q e`` q-grams with the text, all within e + 1 diagonals.
 So q-gram hits are counted in overlapping bands of diagonals, a band and window that reach the
 bound are aligned inside the band, and what exceeds the budget goes.
 
 Items are a query set: they are broadcast in blocks of bounded size, each against all documents. Items that are
-shorter than ``least`` bytes after folding are too short to tell and are left out, as are null items.
+shorter than ``least`` bytes after folding occur where their words stand in a row, without edits and between spaces
+or ends of the text. Null items and items without words occur nowhere.
 Null and empty texts hold nothing. Repeated rows are searched each, equal items are each reported. An
 empty table gives no rows. Other columns are kept by :func:`clean_documents` and not read by :func:`passages`.
 """
@@ -31,11 +32,12 @@ from plumbrow.llm import text as T
 @dataclass(frozen=True)
 class Settings:
     q: int = 12
-    window: int = 128
+    window: int = 56
+    stride: int = 8
     edits: float = 0.05
     least: int = 40
     band: int = 16
-    block_bytes: int = 16 << 20  # items broadcast at a time
+    block_bytes: int = 8 << 20  # items broadcast at a time, with window / stride postings of 8 bytes a byte
 
 
 def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,17 +72,26 @@ class Index:
         data, offsets = T.buffers(pa.array([t for _, t in items], pa.string()))
         data, offsets, _ = folded(data, offsets)
         self.ids, self.bytes = [], []
+        short: dict[int, dict[bytes, list]] = {}  # by length: bodies with the places of their items
         for n, (item, _) in enumerate(items):
             body = data[offsets[n] : offsets[n + 1]]
             if len(body) >= settings.least:
                 self.ids.append(item)
                 self.bytes.append(body)
+            elif words := body.tobytes().strip(b" "):
+                short.setdefault(len(words), {}).setdefault(words, []).append(item)
+        self.short = []
+        for length, bodies in sorted(short.items()):
+            ends = np.arange(len(bodies) + 1) * length
+            hashes = T.span_hash(T.prefix_hash(np.frombuffer(b"".join(bodies), np.uint8)), ends[:-1], ends[1:])
+            order, pairs = np.argsort(hashes, kind="stable"), list(bodies.items())
+            self.short.append((length, hashes[order], [pairs[k] for k in order]))
         # windows: item, start, length, budget, bound
         rows = []
         for item, body in enumerate(self.bytes):
             m = min(settings.window, len(body))
             e = max(0, min(math.floor(settings.edits * m), (m - settings.q) // settings.q))
-            begin = [*range(0, len(body) - m, m // 2), len(body) - m]
+            begin = [*range(0, len(body) - m, settings.stride), len(body) - m]
             rows += [(item, a, m, e, m + 1 - settings.q - settings.q * e) for a in dict.fromkeys(begin)]
         self.windows = np.array(rows, np.int64).reshape(-1, 5)
         self.most = int(self.windows[:, 3].max()) if len(rows) else 0
@@ -90,9 +101,9 @@ class Index:
         for w, (item, a, m, _, _) in enumerate(rows):
             h = hashes[item][a : a + m - settings.q + 1]
             grams.append(h)
-            window.append(np.full(len(h), w))
-            place.append(np.arange(len(h)))
-        empty = np.empty(0, np.int64)
+            window.append(np.full(len(h), w, np.int32))
+            place.append(np.arange(len(h), dtype=np.int32))
+        empty = np.empty(0, np.int32)
         grams = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         order = np.argsort(grams, kind="stable")
         self.window = (np.concatenate(window) if window else empty)[order]
@@ -109,7 +120,40 @@ class Index:
         """
         raw, raw_offsets = T.buffers(column)
         data, offsets, at = folded(raw, raw_offsets)
-        if not len(self.windows) or not len(data):
+        if not len(data):
+            return []
+        return self._exact(data, offsets, at, raw_offsets) + self._near(data, offsets, at, raw_offsets)
+
+    def _exact(self, data, offsets, at, raw_offsets):
+        """Short items as whole words; overlapping ones are each reported."""
+        found = []
+        if not self.short:
+            return found
+        prefix = T.prefix_hash(data)
+        border = np.zeros(len(data) + 1, bool)  # a word may start here, or end before
+        border[offsets] = True
+        border[:-1] |= data == 32
+        border[1:] |= data == 32
+        starts = np.flatnonzero(border[:-1] & (data != 32))
+        for length, hashes, bodies in self.short:
+            begin = starts[: np.searchsorted(starts, len(data) - length, side="right")]
+            row = np.searchsorted(offsets, begin, side="right") - 1
+            good = border[begin + length] & (begin + length <= offsets[row + 1])
+            begin, row = begin[good], row[good]
+            if not len(begin):
+                continue
+            h = T.span_hash(prefix, begin, begin + length)
+            first, last = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
+            for n in np.flatnonzero(last > first):
+                b, r = int(begin[n]), int(row[n])
+                body = data[b : b + length].tobytes()
+                for words, items in bodies[first[n] : last[n]]:
+                    if words == body:
+                        found += [(r, i, int(at[b] - raw_offsets[r]), int(at[b + length - 1] + 1 - raw_offsets[r]), 0) for i in items]
+        return found
+
+    def _near(self, data, offsets, at, raw_offsets):
+        if not len(self.windows):
             return []
         s = self.settings
         h = _gram_hashes(data, s.q)
@@ -124,7 +168,7 @@ class Index:
         times = self.count[key]
         text_at = np.repeat(hit, times)
         posting = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.first[key], times)
-        window = self.window[posting]
+        window = self.window[posting].astype(np.int64)
         diagonal = text_at - self.place[posting] + s.window  # not negative
         band = diagonal // s.band
         twice = (diagonal % s.band <= self.windows[window, 3]) & (band > 0)

@@ -107,3 +107,30 @@ def test_item_blocks_extra_columns_and_empty_tables(spark):
     assert sorted(r.doc_id for r in D.clean_documents(docs, bench, small).collect()) == [2, 4]
     assert D.passages(docs.limit(0), bench).count() == 0 == D.passages(docs, bench.limit(0)).count()
     assert D.clean_documents(docs, bench.limit(0)).count() == 6
+
+
+def test_partial_excerpts():
+    """Any excerpt of window + stride - 1 bytes is found, with an edit as well; its neighbours are not."""
+    rng = random.Random(22)
+    item = "".join(rng.choices("abcdefgh ", k=236))
+    index = D.Index([(4, item)], SETTINGS)
+    length = SETTINGS.window + SETTINGS.stride - 1
+    assert length < 64
+    cuts = [item[a : a + length] for a in range(1, len(item) - length)]
+    texts = [f"{prose(rng, 6)} {c} {prose(rng, 6)}" for c in cuts] + [edited(rng, f"{prose(rng, 3)} {c} {prose(rng, 3)}", 1) for c in cuts]
+    assert {f[0] for f in index.search(pa.array(texts))} == set(range(len(texts)))
+    assert index.search(pa.array([f"{prose(rng, 6)} {item[:110]} {prose(rng, 6)}"]))
+    assert not index.search(pa.array([item[a : a + 30] for a in range(200)] + [prose(rng, 200) for _ in range(20)]))
+
+
+def test_short_items_are_whole_words(spark):
+    items = [(1, "To be  or not"), (2, "to be"), (3, "to be or not"), (4, " "), (5, ""), (6, "É a")]
+    texts = ["x to BE\nor not y", "to beor not", "to be", "into be or", "e to be", "é A", None, "", "caf\u00e9 a", "to be to be"]
+    found = D.Index(items, SETTINGS).search(pa.array(texts))
+    want = [(n, i) for n, t in enumerate(texts) for i, words in items if words.strip() for k in range(len((t or "").split()))
+            if fold(t).split()[k : k + len(words.split())] == fold(words).split()]
+    assert sorted(f[:2] for f in found) == sorted(want) and {f[0] for f in found} == {0, 2, 4, 5, 9}
+    assert all(fold(texts[r].encode()[a:b].decode()) == fold(dict(items)[i]) and e == 0 for r, i, a, b, e in found)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = D.clean_documents(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3, 6, 7, 8]
