@@ -392,6 +392,11 @@ def jaccard_join(
     docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every row, and a hash of its text."""
+    return _joined(docs, settings, doc_id, text).drop("label")
+
+
+def _joined(docs: DataFrame, settings: Settings, doc_id: str, text: str) -> DataFrame:
+    """:func:`jaccard_join` with the label of the component, null where nothing is shared."""
     listed = shingled(docs, settings, doc_id, text)
     classes = settle(
         listed.filter("live").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n").alias("n"))
@@ -443,23 +448,25 @@ def jaccard_join(
     lowest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = named.select("name", "label", "copies").join(lowest, "label").join(links, F.col("name") == F.col("a"), "left")
     named = named.select(
-        F.col("name").alias("c"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        F.col("name").alias("c"), "label", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     return listed.join(named, F.col("live") & (F.col("name") == F.col("c")), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_hash",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_hash", "label",
     )
 
 
 def one_of_each_group(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose id names their component; of rows that repeat id and text, one.
+    """The rows of ``docs``, all columns, but of each group only the one with the least id, nulls last, then text hash.
 
     Documents without words are groups of their own and all stay.
     """
-    joined = jaccard_join(docs, settings, doc_id, text).filter("doc_id <=> component_id")
-    names = settle(joined.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
-        (F.count(F.when(F.col("n_shingles") > 0, 1)) > 1).alias("_more")
-    ))
+    joined = settle(_joined(docs, settings, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "label"))
+    counted = joined.filter("label IS NOT NULL").groupBy("label", "_id", "_hash").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_hash", "n")).alias("least")
+    chosen = counted.groupBy("label").agg(least).select("least._id", "least._hash", (F.col("least.n") > 1).alias("_more"))
+    alone = joined.filter("label IS NULL").select("_id", "_hash").distinct().withColumn("_more", F.lit(False))
+    names = settle(chosen.unionByName(alone))
     same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
     single = docs.join(names.filter("NOT _more").select("_id", "_hash"), same, "left_semi")
     repeated = names.filter("_more").select("_id", "_hash")

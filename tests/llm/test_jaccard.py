@@ -79,6 +79,16 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert sorted(map(repr, kept.collect())) == sorted(map(repr, [*df.distinct().filter("doc_id = 1 OR text <> 'a b c d e f' OR text IS NULL").collect()]))
 
 
+def test_one_near_copy_stays_without_or_with_repeated_ids(spark):
+    near = lambda k, word: " ".join([f"{word}{i}" for i in range(60)] + [f"end{k}"])
+    rows = [(None, near(k, "a")) for k in range(4)] + [(5, near(k, "b")) for k in range(3)] + [(9, near(7, "b"))]
+    rows += [(None, near(0, "c")), (8, near(1, "c")), (None, "a text of its own"), (None, ""), (None, "")]
+    kept = jaccard.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for word, ids in (("a", [None]), ("b", [5]), ("c", [8])):
+        assert [r.doc_id for r in kept if r.text.startswith(f"{word}0")] == ids
+    assert sorted(r.text for r in kept if not r.text[1:2].isdigit()) == ["", "", "a text of its own"]
+
+
 def test_bitmaps_bound_the_overlap():
     rng = random.Random(4)
     from plumbrow.llm import text as T
