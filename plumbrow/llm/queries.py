@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbrow.llm import decontaminate, jaccard, lm, mixing, search, secrets, sharding, suffixes, toxicity, urls
+from plumbrow.llm import decontaminate, jaccard, lm, mixing, negatives, search, secrets, sharding, suffixes, toxicity, urls
 from plumbrow.session import scratch_path
 from plumbrow.sources.views import table
 
@@ -94,7 +94,14 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_suffix_dedup, op3_mix, op4_decontaminate, op5_reshard, op6_jaccard, op7_secrets, op8_topk, op9_url_verdicts, op10_toxicity)}
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of every seventh id are moved on by one, so that near rows of another label exist."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf, "embeddings").select("vec_id", moved.alias("label"), search.quantised(F.col("embedding")).alias("vector"))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_suffix_dedup, op3_mix, op4_decontaminate, op5_reshard, op6_jaccard, op7_secrets, op8_topk, op9_url_verdicts, op10_toxicity, op11_hard_negatives)}
 ORACLE: dict[str, str] = {
     "op8_topk": """
         WITH v AS (
@@ -108,6 +115,25 @@ ORACLE: dict[str, str] = {
         SELECT query_id, row_number() OVER w AS rank, vec_id, score FROM scored
         WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
     """,
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id,
+                list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+        ), positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT p.anchor_id, positive_id, row_number() OVER w AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+        FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT same
+            AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+        WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 5
+    """,
     "op9_url_verdicts": """
         WITH rest AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
