@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbrow.llm import decontaminate, jaccard, lm, mixing, negatives, search, secrets, sharding, suffixes, toxicity, urls
+from plumbrow.llm import alignment, decontaminate, jaccard, lm, mixing, negatives, search, secrets, sharding, suffixes, toxicity, urls
 from plumbrow.session import scratch_path
 from plumbrow.sources.views import table
 
@@ -101,7 +103,17 @@ def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_suffix_dedup, op3_mix, op4_decontaminate, op5_reshard, op6_jaccard, op7_secrets, op8_topk, op9_url_verdicts, op10_toxicity, op11_hard_negatives)}
+#: The vocabulary files of op13; their folder is a parameter of the cluster.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+
+def op13_token_links(spark: SparkSession, sf: str) -> DataFrame:
+    files = alignment.Files.read(f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+    linked = alignment.link_tokens(table(spark, sf, "documents"), files, keep=["doc_id"])
+    return linked.select("doc_id", *alignment.COUNTS, "n_best", "count_sum", "groups_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_suffix_dedup, op3_mix, op4_decontaminate, op5_reshard, op6_jaccard, op7_secrets, op8_topk, op9_url_verdicts, op10_toxicity, op11_hard_negatives, op13_token_links)}
 ORACLE: dict[str, str] = {
     "op8_topk": """
         WITH v AS (
