@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbrow.llm import alignment, decontaminate, jaccard, lm, mixing, negatives, search, secrets, sharding, suffixes, toxicity, urls
+from plumbrow.llm import alignment, decontaminate, jaccard, lm, mixing, negatives, personal, search, secrets, sharding, suffixes, toxicity, urls
 from plumbrow.session import scratch_path
 from plumbrow.sources.views import table
 
@@ -103,6 +103,15 @@ def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op12_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = personal.find_personal(docs, personal.fit(docs), keep=["doc_id"])
+    return found.select(
+        "doc_id", *[personal.count_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in personal.KINDS],
+        F.sha2(personal.spelled(F.col("base")), 256).alias("base_sha256"), personal.spelled(F.col("spans")).alias("spans"),
+    )
+
+
 #: The vocabulary files of op13; their folder is a parameter of the cluster.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -113,7 +122,7 @@ def op13_token_links(spark: SparkSession, sf: str) -> DataFrame:
     return linked.select("doc_id", *alignment.COUNTS, "n_best", "count_sum", "groups_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_suffix_dedup, op3_mix, op4_decontaminate, op5_reshard, op6_jaccard, op7_secrets, op8_topk, op9_url_verdicts, op10_toxicity, op11_hard_negatives, op13_token_links)}
+QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_suffix_dedup, op3_mix, op4_decontaminate, op5_reshard, op6_jaccard, op7_secrets, op8_topk, op9_url_verdicts, op10_toxicity, op11_hard_negatives, op12_personal_data, op13_token_links)}
 ORACLE: dict[str, str] = {
     "op8_topk": """
         WITH v AS (
