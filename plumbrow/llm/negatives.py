@@ -246,7 +246,7 @@ def mine(
     gathered = found.groupBy("anchor_id").agg(F.collect_set(F.struct(F.col("found_id").alias("id"), "score")).alias("positives"))
     asked = settle(anchors.join(gathered, F.col("vec_id") == F.col("anchor_id")).drop("anchor_id"))
 
-    pool = F.lit(0)
+    pool = F.pmod("vec_id", F.lit(1))  # one pool, by a column that joins as any other
     held, met, cell = _dealt(rows.withColumn("pool", pool), asked.withColumn("pool", pool), settings, width)
     mined = held.groupBy(*cell).cogroup(met.groupBy(*cell)).applyInArrow(_negatives(settings), MINED)
     order = Window.partitionBy("anchor_id", "positive_id", "positive_score").orderBy(F.desc("negative_score"), "negative_id")
