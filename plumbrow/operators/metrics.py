@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -121,16 +120,13 @@ def ranking_metrics(
 ) -> DataFrame:
     """ROC-AUC (ties half counted) and average precision (step sum).
 
-    The distinct scores are stored once, so the scoring behind them runs once. The running counts
-    are two-level: the scores of every configuration are cut into value buckets at its own sketched
-    quantiles, about ``bucket_scores`` in each, a window over the bucket totals gives the counts
-    above a bucket, and windows inside the buckets do the rest, so no task sorts all scores. The
-    bounds are stored: a task that runs again sees the same buckets.
+    The distinct scores are dealt by range of configuration and score, about ``bucket_scores`` to a
+    bucket, and stored with their bucket, so the scoring behind them runs once and a task that runs again
+    sees the same buckets. A window over the bucket totals gives the counts above a bucket and windows inside the
+    buckets do the rest, so no task sorts all scores, and a row is compared with few bounds whatever the number of buckets.
     """
-    scores = settle(
-        counts.groupBy(*by, "score").agg(
-            F.sum("pos").cast("double").alias("pos"), F.sum("neg").cast("double").alias("neg")
-        )
+    scores = counts.groupBy(*by, "score").agg(
+        F.sum("pos").cast("double").alias("pos"), F.sum("neg").cast("double").alias("neg")
     )
     running = _running_in_buckets(scores, by, bucket_scores)
     pos, neg, ctp, cfp = (F.col(c) for c in ("pos", "neg", "ctp", "cfp"))
@@ -147,16 +143,10 @@ def _running(scores: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _running_in_buckets(scores: DataFrame, by: Sequence[str], bucket_scores: int) -> DataFrame:
-    largest = scores.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    buckets = max(1, math.ceil(largest / bucket_scores))
-    marks = F.array(*[F.lit(i / buckets) for i in range(1, buckets)]).cast("array<double>")
-    bounds = scores.groupBy(*by).agg(
-        F.percentile_approx("score", marks, 8 * buckets).alias("bounds") if buckets > 1 else F.first(marks).alias("bounds")
-    )
-    named = settle(bounds.select(*[F.col(c).alias(f"b_{c}") for c in by], F.array_distinct("bounds").alias("bounds")))
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in by])
-    at = F.size(F.filter("bounds", lambda x: x <= F.col("score")))
-    scores = scores.join(named, same).select(*scores.columns, at.alias("bucket"))
+    scores = settle(scores)
+    buckets = max(1, math.ceil(scores.count() / bucket_scores))
+    dealt = scores.repartitionByRange(buckets, *by, F.desc("score"))
+    scores = settle(dealt.withColumn("bucket", -F.spark_partition_id()))  # higher scores of a configuration in higher buckets
     higher = Window.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     above = (
         scores.groupBy(*by, "bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))

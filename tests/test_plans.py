@@ -1,6 +1,11 @@
 """Plan shapes that must hold at scale."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from plumbrow.operators import audit, sampling
@@ -52,3 +57,31 @@ def test_one_aggregate_serves_the_audit(spark, sf):
 def test_no_cross_join_and_no_row_udf(spark, sf, name):
     text = plan(catalog.QUERIES[name](spark, sf))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text and "BatchEvalPython" not in text
+
+
+def test_ranking_compares_no_row_with_all_bounds(spark, sf):
+    """Scores find their bucket by range: no bound is spelt in the plan, whatever the number of buckets."""
+    from plumbrow.operators import metrics
+
+    scores = spark.range(3000).select((F.col("id") % 2).cast("int").alias("label"), (F.col("id") / 7).alias("score"), F.lit("c").alias("config"))
+    counts = metrics.score_counts(scores.withColumn("pred", F.lit(1)))
+    few, many = (plan(metrics.ranking_metrics(counts, bucket_scores=n)) for n in (3000, 10))
+    assert "percentile" not in many and "filter(" not in many.lower().replace("pushedfilters", "")
+    assert len(many) < 1.1 * len(few)
+
+
+def test_entry_stands_without_the_training_data_package():
+    """As if the subpackage were not installed, with the pipeline file still there."""
+    hide = (
+        "import sys, importlib.abc\n"
+        "class Hidden(importlib.abc.MetaPathFinder):\n"
+        "    def find_spec(self, name, path=None, target=None):\n"
+        "        if name.startswith('plumbrow.llm'): raise ModuleNotFoundError(name)\n"
+        "import importlib.util as u; find = u.find_spec\n"
+        "u.find_spec = lambda n, p=None: None if n.startswith('plumbrow.llm') else find(n, p)\n"
+        "sys.meta_path.insert(0, Hidden())\n"
+        "import __spark_entry__ as e\n"
+        "assert 'label_ceiling' in e.queries() and 'pipeline' not in e.queries() and not any(q.startswith('op') and q[2].isdigit() for q in e.queries())\n"
+    )
+    root = Path(entry_points.__file__).parent
+    subprocess.run([sys.executable, "-c", hide], cwd=root, check=True, timeout=120)
