@@ -1,0 +1,104 @@
+"""Mergeable moments of array columns: one small record a partition, whatever its rows."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+
+#: Of every position: rows with a value, their mean, the sum of squared distances from it, minimum and maximum.
+RECORD = "n array<bigint>, mean array<double>, squares array<double>, low array<double>, high array<double>"
+ROW = "pos int, mean double, std double, low double, high double"
+
+
+@dataclass
+class Moments:
+    n: np.ndarray
+    mean: np.ndarray
+    squares: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    @classmethod
+    def none(cls, width: int = 0) -> Moments:
+        return cls(np.zeros(width, np.int64), np.zeros(width), np.zeros(width), np.full(width, np.nan), np.full(width, -np.inf))
+
+    @classmethod
+    def of(cls, column: pa.Array) -> Moments:
+        """Moments of a list column of doubles; missing rows and values are left out, lists may differ in length."""
+        column = column.drop_null()
+        lengths = np.asarray(column.value_lengths(), np.int64)
+        values = column.flatten()
+        if not len(column) or not lengths.max():
+            return cls.none()
+        width = int(lengths.max())
+        if not values.null_count and lengths.min() == width:
+            x = values.to_numpy().reshape(len(column), width)
+            mean = x.mean(axis=0)
+            with np.errstate(invalid="ignore"):
+                squares = ((x - mean) ** 2).sum(axis=0)
+            return cls(np.full(width, len(x)), mean, squares, np.fmin.reduce(x, axis=0), np.maximum.reduce(x, axis=0))
+        at = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        known = np.asarray(values.is_valid())
+        at, x = at[known], values.drop_null().to_numpy()
+        out = cls.none(width)
+        out.n = np.bincount(at, minlength=width)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out.mean = np.where(out.n > 0, np.bincount(at, x, width) / out.n, 0.0)
+            out.squares = np.bincount(at, (x - out.mean[at]) ** 2, width)
+        np.fmin.at(out.low, at, x)
+        np.maximum.at(out.high, at, x)
+        return out
+
+    def merged(self, other: Moments) -> Moments:
+        width = max(len(self.n), len(other.n))
+        a, b = self._padded(width), other._padded(width)
+        n = a.n + b.n
+        share = b.n / np.maximum(n, 1)
+        with np.errstate(invalid="ignore"):
+            apart = np.where((a.n > 0) & (b.n > 0), b.mean - a.mean, 0.0)
+            mean = np.where(a.n == 0, b.mean, a.mean + apart * share)
+            squares = a.squares + b.squares + apart**2 * a.n * share
+        return Moments(n, mean, squares, np.fmin(a.low, b.low), np.maximum(a.high, b.high))
+
+    def _padded(self, width: int) -> Moments:
+        more = Moments.none(width - len(self.n))
+        return Moments(*(np.concatenate([getattr(self, f), getattr(more, f)]) for f in self.__dataclass_fields__))
+
+
+def _batch(m: Moments) -> pa.RecordBatch:
+    names = list(m.__dataclass_fields__)
+    return pa.record_batch([pa.array([getattr(m, f)]) for f in names], names)
+
+
+def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One record for all rows of a partition; the array is the only column."""
+    total = Moments.none()
+    for batch in batches:
+        total = total.merged(Moments.of(batch.column(0)))
+    yield _batch(total)
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Moments:
+    total = Moments.none()
+    for batch in batches:
+        columns = [batch.column(f) for f in Moments.__dataclass_fields__]
+        for k in range(batch.num_rows):
+            total = total.merged(Moments(*(c[k].values.to_numpy(zero_copy_only=False) for c in columns)))
+    return total
+
+
+def of_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One record for all records of a partition."""
+    yield _batch(_total(batches))
+
+
+def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a position; positions without any value are null."""
+    m = _total(batches)
+    empty = m.n == 0
+    std = np.sqrt(m.squares / np.maximum(m.n, 1))
+    columns = [pa.array(np.arange(len(m.n)), pa.int32())] + [pa.array(c, pa.float64(), mask=empty) for c in (m.mean, std, m.low, m.high)]
+    yield pa.record_batch(columns, [c.split(" ")[0] for c in ROW.split(", ")])
