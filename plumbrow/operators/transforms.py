@@ -17,7 +17,6 @@ from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbrow.functions import moments
 from plumbrow.functions.batches import map_rows
 from plumbrow.functions.columns import clip, double_array
 
@@ -37,18 +36,17 @@ def concat_arrays(df: DataFrame, columns: Sequence[str], out: str) -> DataFrame:
     return df.withColumn(out, F.concat(*columns))
 
 
-FAN_IN = 16  # tasks that merge the records of all partitions before the last one
-
-
 def array_moments(df: DataFrame, column: str) -> DataFrame:
-    """Per position: mean, population deviation, minimum, maximum.
-
-    Every partition becomes one record, ``FAN_IN`` tasks merge the records and one task the last few: no row is
-    taken apart and the shuffles carry a few numbers a position and partition.
-    """
-    records = df.select(F.col(column).cast("array<double>")).mapInArrow(moments.of_rows, moments.RECORD)
-    merged = records.repartition(FAN_IN).mapInArrow(moments.of_records, moments.RECORD)
-    return merged.repartition(1).mapInArrow(moments.positions, moments.ROW)
+    """Per position: mean, population deviation, minimum, maximum."""
+    return (
+        df.select(F.posexplode(column).alias("pos", "v"))
+        .withColumn("v", F.col("v").cast("double"))
+        .groupBy("pos")
+        .agg(
+            F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"),
+            F.min("v").alias("low"), F.max("v").alias("high"),
+        )
+    )
 
 
 def _state(df: DataFrame, column: str) -> list:

@@ -155,49 +155,3 @@ def test_stored_models(spark, tmp_path):
 
 def test_angle_of_pi_returns_the_endpoint():
     assert math.atan2(math.sin(math.pi), math.cos(math.pi)) / math.pi == 1.0
-
-
-def exploded_moments(df, column):
-    """The same by a row a value."""
-    values = df.select(F.posexplode(column).alias("pos", "v"))
-    return values.groupBy("pos").agg(F.avg("v"), F.stddev_pop("v"), F.min("v"), F.max("v")).orderBy("pos").collect()
-
-
-def test_moments_without_taking_rows_apart(spark):
-    rng = np.random.default_rng(12)
-    odd = [None, [], [None, 2.0], [1.0], [None, None, None, 4.0, 5.0]]
-    tables = (
-        [list(map(float, r)) for r in rng.normal(1e6, 1, size=(500, 5))],
-        [[float("nan"), 1.0, float("inf")], [2.0, float("nan"), 1.0], [0.5, float("nan"), -1.0]],
-        [list(map(float, r)) for r in rng.normal(size=(40, 3))] + odd * 3,
-        odd[:2], [[7.0, 7.0]],
-    )
-    for rows in tables:
-        df = spark.createDataFrame([(r,) for r in rows], "z array<double>").repartition(7)
-        got = transforms.array_moments(df, "z").orderBy("pos").collect()
-        expect = exploded_moments(df, "z")
-        assert len(got) == len(expect)
-        for a, b in zip(got, expect):
-            for x, y in zip(a, b):
-                assert (x is None) == (y is None)
-                assert x is None or x == y or math.isnan(x) and math.isnan(y) or x == pytest.approx(y, rel=1e-9, abs=1e-12), (a, b)
-    empty = spark.createDataFrame([], "z array<double>")
-    assert transforms.array_moments(empty, "z").collect() == []
-    text = transforms.array_moments(df, "z")._jdf.queryExecution().executedPlan().toString()
-    assert "Generate" not in text
-
-
-def test_moments_merge_in_any_order():
-    from plumbrow.functions.moments import Moments
-
-    import pyarrow as pa
-
-    rng = np.random.default_rng(13)
-    values = rng.normal(size=(300, 4))
-    parts = [Moments.of(pa.array(p.tolist(), pa.list_(pa.float64()))) for p in np.split(values, [1, 2, 50, 50, 211])]
-    for order in (parts, parts[::-1]):
-        total = Moments.none()
-        for p in order:
-            total = total.merged(p)
-        assert np.allclose(total.mean, values.mean(0)) and np.allclose(total.squares / 300, values.var(0))
-        assert (total.low == values.min(0)).all() and (total.high == values.max(0)).all()
