@@ -8,14 +8,16 @@ from __future__ import annotations
 import time
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbrow.operators import ranking, sampling, significance, transforms
 from plumbrow.operators.classifiers import (
     CONFIGURATIONS, Classifier, best_kmeans, cluster_columns, margin_to_probability,
 )
+from plumbrow.operators.trials import TrialTable
 from plumbrow.plans import explain, study
 from plumbrow.plans.leakage import leakage_audit
+from plumbrow.plans.tuning import TuningChain
 from plumbrow.session import scratch_path, settle
 from plumbrow.sources import sinks
 from plumbrow.sources.views import LI4_FEATURES, LI_KEY, LI_TIES, embeddings, lineitem
@@ -155,6 +157,36 @@ def random_search(spark, sf):
     return ranking.trial_listing(_trials(spark, sf, 2)).drop("duration")
 
 
+def trial_listing(spark, sf):
+    """A search of two trials, and one of four over the same table, which runs the two that are missing."""
+    train = _emb(spark, sf).filter("split = 'train'").drop("split")
+    dev = settle(sampling.dev_split(train, "label", KEY))
+    path = scratch_path(spark, "trials")
+    for trials in (2, 4):
+        table = study.random_search(dev, "z", KEY, trials=trials, path=path)
+    attempts = TrialTable(spark, path, study.SEARCH_TYPES).attempts()
+    return ranking.trial_listing(table.join(attempts, "number")).select(
+        "number", *[f"params_{n}" for n in study.SEARCH_TYPES], "encoded_dim", "state", "attempts",
+        F.col("value").between(0, 1).alias("scored"), (F.col("seconds") > 0).alias("timed"),
+    )
+
+
+def tuning_chain(spark, sf):
+    """Rows of a staged tuning that do not depend on the fits: grids, sizes, and whether the winners follow the rule."""
+    report = TuningChain().fit(_emb(spark, sf), "z", KEY).report
+    stage = Window.partitionBy("stage")
+    best = F.row_number().over(stage.orderBy(F.desc_nulls_last("attack_f1"), "trial")) == 1
+    width = F.max(F.when((F.col("stage") == "architecture") & F.col("chosen"), F.col("dims"))).over(Window.partitionBy(F.col("stage") == ""))
+    rows = report.withColumn("best", best).withColumn("width", width)
+    return rows.select(
+        "stage", "trial", "config", F.when(F.col("stage") == "architecture", F.col("dims")).otherwise(0).alias("dims"), "fit_rows", "valid_rows",
+        F.when(F.col("stage") == "baseline", ~F.col("chosen")).otherwise(F.col("chosen") == F.col("best")).alias("by_rule"),
+        F.when(F.col("stage") == "baseline", F.col("dims") == 64).when(F.col("stage") == "architecture", True)
+        .otherwise(F.col("dims") == F.col("width")).alias("handed_on"),
+        (F.col("accuracy").between(0, 1) & F.col("auc_roc").between(0, 1) & F.col("attack_f1").between(0, 1)).alias("scored"),
+    )
+
+
 def search_refit(spark, sf):
     return study.refit_best(_emb(spark, sf), "z", KEY, _trials(spark, sf, 1), epochs=3)
 
@@ -234,6 +266,8 @@ MODEL_QUERIES = {
     "margin_grid": margin_grid,
     "random_search": random_search,
     "search_refit": search_refit,
+    "trial_listing": trial_listing,
+    "tuning_chain": tuning_chain,
     "impurity_importance": impurity_importance,
     "permutation_importance": permutation_importance,
     "model_profile": model_profile,

@@ -319,6 +319,34 @@ def imputed(where: str, clean: str, extra: str = "") -> str:
 
 FINITE = "value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value)"
 
+def drawn(name: str) -> str:
+    """Share of the range that a trial's digest gives a search parameter."""
+    return f"(CAST('0x' || substr(md5('42:' || number || ':{name}'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+def picked(name: str, first: int, step: int, choices: int) -> str:
+    return f"CAST({first} + {step} * floor({drawn(name)} * {choices}) AS INTEGER)"
+
+
+# Values of the search space that are not evenly stepped: 64 128 256, 32 64, 24 32 48.
+TRIAL_LISTING = f"""SELECT CAST(number AS INTEGER) AS number, {drawn('drop')} * 0.3::DOUBLE AS params_drop,
+      [64, 128, 256][CAST(1 + floor({drawn('h1')} * 3) AS INTEGER)] AS params_h1, {picked('h2', 32, 32, 2)} AS params_h2,
+      [24, 32, 48][CAST(1 + floor({drawn('ldim')} * 3) AS INTEGER)] AS params_ldim, {picked('max_d', 10, 1, 21)} AS params_max_d,
+      {picked('n_est', 150, 50, 6)} AS params_n_est, 2 * [24, 32, 48][CAST(1 + floor({drawn('ldim')} * 3) AS INTEGER)] AS encoded_dim,
+      'COMPLETE' AS state, CAST(1 AS BIGINT) AS attempts, true AS scored, true AS timed
+    FROM range(4) t(number)"""
+
+TUNING_CHAIN = """WITH n AS (SELECT count(*) AS n, CAST(ceil(0.2::DOUBLE * count(*)) AS BIGINT) AS valid_rows FROM embeddings),
+    sizes AS (SELECT n - valid_rows AS train, least(15000, n - valid_rows) AS part, valid_rows FROM n),
+    rows AS (
+      SELECT 'architecture' AS stage, CAST(2 * w + a AS INTEGER) AS trial, 'latent=' || (16 * (w + 1)) || ' act=' || (['relu', 'tanh'])[a + 1] AS config,
+        CAST(32 * (w + 1) AS INTEGER) AS dims, part AS fit_rows, valid_rows FROM range(2) x(w), range(2) y(a), sizes
+      UNION ALL SELECT 'margin', CAST(3 * c + g AS INTEGER), 'C=' || ([1, 10, 100])[c + 1] || ' gamma=' || (['scale', '0.01', '0.1'])[g + 1],
+        0, part, valid_rows FROM range(3) x(c), range(3) y(g), sizes
+      UNION ALL SELECT 'final', 0, 'tuned', 0, train, valid_rows FROM sizes
+      UNION ALL SELECT 'baseline', 0, 'forest', 0, train, valid_rows FROM sizes
+    ) SELECT *, true AS by_rule, true AS handed_on, true AS scored FROM rows"""
+
 ORACLE = {
     "drop_leaky_columns": """SELECT l_linenumber, round(l_quantity, 6) + 0.0 AS l_quantity,
         round(l_extendedprice, 6) + 0.0 AS l_extendedprice, round(l_discount, 6) + 0.0 AS l_discount,
@@ -478,6 +506,8 @@ ORACLE = {
     "fold_summary": f"""{FOLD_METRICS} SELECT config, metric, count(*) AS folds, round(avg(value), 6) + 0.0 AS mean,
         round(stddev_pop(value), 6) + 0.0 AS std FROM fm GROUP BY config, metric""",
     "paired_stats": PAIRED,
+    "trial_listing": TRIAL_LISTING,
+    "tuning_chain": TUNING_CHAIN,
     "leaderboard": f"""{SCORED} {rounded(attack('config', 'sc'), ATTACK_COLUMNS, 'config, CAST(rank() OVER (ORDER BY attack_f1 DESC) AS INTEGER) AS place')}""",
     "best_trial": f"""{SCORED} SELECT CAST(length(config) AS INTEGER) AS trial, config, round(accuracy, 6) + 0.0 AS accuracy
         FROM ({attack('config', 'sc')}) ORDER BY accuracy DESC, length(config) LIMIT 1""",

@@ -9,6 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from hashlib import md5
 
 from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,8 +18,9 @@ from plumbrow.operators import metrics, transforms
 from plumbrow.operators.autoencoder import AutoencoderFit
 from plumbrow.operators.classifiers import CONFIGURATIONS, TOURNAMENT, Classifier, best_kmeans, cluster_columns
 from plumbrow.operators.sampling import sample_uniform
+from plumbrow.operators.trials import TrialTable
 from plumbrow.parallel import all_results, run_parallel
-from plumbrow.session import settle
+from plumbrow.session import scratch_path, settle
 from plumbrow.sources.files import union_tables
 
 
@@ -285,21 +287,28 @@ SEARCH_SPACE = {
 }
 
 
+SEARCH_TYPES = {"drop": "double", "h1": "int", "h2": "int", "ldim": "int", "max_d": "int", "n_est": "int"}
+
+
 def draw_trials(n: int, seed: int = 42) -> list[dict]:
-    """Seeded draws from the search space."""
-    import numpy as np
+    """Seeded draws from the search space: every parameter by the digest of seed, trial number and name.
 
-    rng = np.random.default_rng(seed)
-    low, high, step = SEARCH_SPACE["n_est"]
-    return [
-        {
-            "h1": int(rng.choice(SEARCH_SPACE["h1"])), "h2": int(rng.choice(SEARCH_SPACE["h2"])),
-            "ldim": int(rng.choice(SEARCH_SPACE["ldim"])), "drop": float(rng.uniform(*SEARCH_SPACE["drop"])),
-            "n_est": int(rng.choice(np.arange(low, high + 1, step))),
-            "max_d": int(rng.integers(SEARCH_SPACE["max_d"][0], SEARCH_SPACE["max_d"][1] + 1)),
+    The first 32 bits of the digest are a share of the range, so any engine draws the same trials.
+    """
+
+    def one(number: int) -> dict:
+        share = lambda name: int(md5(f"{seed}:{number}:{name}".encode()).hexdigest()[:8], 16) / 2**32
+        pick = lambda name, values: values[int(share(name) * len(values))]
+        low, high, step = SEARCH_SPACE["n_est"]
+        least, most = SEARCH_SPACE["max_d"]
+        none, full = SEARCH_SPACE["drop"]
+        return {
+            "h1": pick("h1", SEARCH_SPACE["h1"]), "h2": pick("h2", SEARCH_SPACE["h2"]), "ldim": pick("ldim", SEARCH_SPACE["ldim"]),
+            "drop": none + share("drop") * (full - none),
+            "n_est": pick("n_est", range(low, high + 1, step)), "max_d": pick("max_d", range(least, most + 1)),
         }
-        for _ in range(n)
-    ]
+
+    return [one(number) for number in range(n)]
 
 
 def _trial_latent(params: dict, epochs: int, patience: int, seed: int, rows_per_task: int = 16_384) -> Latent:
@@ -315,41 +324,25 @@ def _trial_forest(params: dict, seed: int) -> Classifier:
 
 def random_search(
     dev: DataFrame, features: str, key: Sequence[str], trials: int = 20, epochs: int = 25, patience: int = 4,
-    seed: int = 42, parallelism: int = 1,
+    seed: int = 42, parallelism: int | None = None, path: str | None = None,
 ) -> DataFrame:
     """Seeded random search over autoencoder and forest; the objective is attack F1 on ``valid`` rows.
 
-    ``dev`` has a ``split`` column with ``train`` and ``valid``. One row per trial.
+    ``dev`` has a ``split`` column with ``train`` and ``valid``. One row per trial. Trials are stored under ``path`` when they end; a
+    search with the same path runs those that are missing.
     """
     spark = dev.sparkSession
-    drawn = draw_trials(trials, seed)
 
-    def one(number: int) -> tuple:
-        params, start = drawn[number], time.time()
+    def objective(number: int, params: dict) -> float:
         encoded = encode_sides(dev, features, key, _trial_latent(params, epochs, patience, seed))
         train, valid = sides(encoded, "valid")
         counts = scored_entry(Entry(str(number), train, valid, "e", _trial_forest(params, seed)))
-        value = metrics.attack_metrics(counts).first()["attack_f1"]
-        return (number, value, start, time.time(), params, "COMPLETE")
-
-    rows = []
-    for number, r in enumerate(run_parallel([lambda i=i: one(i) for i in range(trials)], parallelism)):
-        if isinstance(r, Exception):
-            r = (number, None, None, None, drawn[number], "FAIL")
-        number, value, start, end, p, state = r
-        rows.append(
-            (number, value, start, end, p["drop"], p["h1"], p["h2"], p["ldim"], p["max_d"], p["n_est"], 2 * p["ldim"], state)
-        )
-    table = spark.createDataFrame(
-        rows,
-        "number int, value double, s double, e double, params_drop double, params_h1 int, params_h2 int, "
-        "params_ldim int, params_max_d int, params_n_est int, user_attrs_encoded_dim int, state string",
-    )
-    return (
-        table.withColumn("datetime_start", F.timestamp_micros((F.col("s") * 1e6).cast("long")))
-        .withColumn("datetime_complete", F.timestamp_micros((F.col("e") * 1e6).cast("long")))
-        .withColumn("duration", F.col("datetime_complete") - F.col("datetime_start"))
-        .drop("s", "e")
+        return metrics.attack_metrics(counts).first()["attack_f1"]
+
+    stored = TrialTable(spark, path or scratch_path(spark, "trials"), SEARCH_TYPES)
+    table = stored.run(draw_trials(trials, seed), objective, parallelism)
+    return table.withColumn("user_attrs_encoded_dim", 2 * F.col("params_ldim")).withColumn(
+        "duration", F.col("datetime_complete") - F.col("datetime_start")
     )
 
 
