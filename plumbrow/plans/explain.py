@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from plumbrow.functions.columns import digest
+from plumbrow.functions.permutation import permuted
 from plumbrow.operators.autoencoder import EncoderModel
 from plumbrow.operators.classifiers import FittedClassifier
 from plumbrow.operators.sampling import PREFIX, sample_uniform
+from plumbrow.parallel import all_results
 from plumbrow.session import scratch_path, settle
 
 
@@ -36,36 +40,51 @@ def hash_rank(df: DataFrame, by: Sequence[str], order: str, out: str) -> DataFra
     )
 
 
+def _moved(n: int, pos: int, repeats: int, seed: int):
+    """Row number, shuffle and value of the row that gets it, for every shuffle of one feature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = batch.column("i").to_numpy()
+            for s in range(repeats):
+                to = permuted(number, n, f"{seed}:{pos}:{s}")
+                yield pa.record_batch([pa.array(to), pa.array(np.full(len(to), s, np.int32)), batch.column("value")], ["i", "s", "value"])
+
+    return run
+
+
 def permutation_importance(
     fitted: FittedClassifier, df: DataFrame, features: Sequence[str], key: Sequence[str], label: str = "label",
-    rows: int | None = None, repeats: int = 5, seed: int = 42,
+    rows: int | None = None, repeats: int = 5, seed: int = 42, parallelism: int = 4,
 ) -> DataFrame:
     """Mean accuracy drop when one feature is shuffled, over ``repeats`` shuffles, on all rows or a sample of ``rows``.
 
-    A shuffle pairs two hash orders of the same sample: row number i receives the value of
-    the row that is i-th in the shuffled order. All shuffles are one long table and are
-    scored in one pass.
+    Rows are numbered once. A shuffle is a one-to-one map of these numbers, so only the values of one feature travel, to
+    rows that are already placed by number. One feature at a time makes ``repeats`` scored copies of the rows.
     """
     column = fitted.column
     chosen = df.select(*key, label, column)
-    sample = settle(chosen if rows is None else sample_uniform(chosen, key, rows, seed=f"{seed}:permute"))
-    names = [F.col(k) for k in key]
-    base = hash_rank(sample.withColumn("h", digest(names, f"{seed}:place")).withColumn("g", F.lit(0)), ["g"], "h", "i")
-    shuffles = F.explode(F.sequence(F.lit(0), F.lit(len(features) * repeats - 1)))
-    long = sample.select(*key, column, shuffles.alias("s")).withColumn("pos", (F.col("s") / repeats).cast("int"))
-    donors = long.select(
-        "s", "pos", F.element_at(column, F.col("pos") + 1).alias("value"),
-        digest([*names, F.col("s")], f"{seed}:donor").alias("h"),
-    )
-    donors = hash_rank(donors, ["s"], "h", "i").select("s", "pos", "value", "i")
-    replaced = F.transform(F.col(column), lambda x, p: F.when(p == F.col("pos"), F.col("value")).otherwise(x))
-    mixed = donors.join(base.select("i", label, column), on="i").withColumn(column, replaced)
-    hit = F.avg((F.col("pred") == F.col(label)).cast("double"))
-    truth = fitted.score(sample).agg(hit).first()[0]
-    per = fitted.score(mixed.select("s", "pos", label, column)).groupBy("pos", "s").agg(hit.alias("a"))
-    drop = per.groupBy("pos").agg((F.lit(truth) - F.avg("a")).alias("importance"), F.stddev_pop("a").alias("std"))
-    known = df.sparkSession.createDataFrame(list(enumerate(features)), "pos int, feature string")
-    return drop.join(known, on="pos").select("feature", "importance", "std")
+    sample = chosen if rows is None else sample_uniform(chosen, key, rows, seed=f"{seed}:permute")
+    place = sample.withColumn("h", digest([F.col(k) for k in key], f"{seed}:place")).withColumn("g", F.lit(0))
+    numbered = settle(hash_rank(place, ["g"], "h", "i").select((F.col("i") - 1).alias("i"), F.col(label).alias("label"), F.col(column).alias(column)))
+    n = numbered.count()
+    hit = F.avg((F.col("pred") == F.col("label")).cast("double"))
+    truth = fitted.score(numbered).agg(hit).first()[0]
+    placed = numbered.repartition("i").persist()
+
+    def one(pos: int) -> list[tuple[str, float]]:
+        values = numbered.select("i", F.element_at(column, pos + 1).cast("double").alias("value"))
+        donors = values.mapInArrow(_moved(n, pos, repeats, seed), "i long, s int, value double")
+        replaced = F.transform(F.col(column), lambda x, p: F.when(p == pos, F.col("value")).otherwise(x))
+        mixed = donors.join(placed, "i").withColumn(column, replaced).select("s", "label", column)
+        return [(features[pos], r["a"]) for r in fitted.score(mixed).groupBy("s").agg(hit.alias("a")).collect()]  # as many as repeats
+
+    try:
+        found = [r for part in all_results([lambda p=p: one(p) for p in range(len(features))], parallelism) for r in part]
+    finally:
+        placed.unpersist()
+    per = df.sparkSession.createDataFrame(found, "feature string, a double")
+    return per.groupBy("feature").agg((F.lit(truth) - F.avg("a")).alias("importance"), F.stddev_pop("a").alias("std"))
 
 
 def stored_bytes(spark: SparkSession, path: str) -> int:

@@ -113,3 +113,34 @@ def test_group_split_of_the_report_has_no_leak(spark):
     report = leakage_audit(skewed(spark, 600), "label", ["a"], ["id"], rounding=0)
     leaks = report.filter("section = 'group_split_overlap' and metric = 'shared_groups'").first()
     assert leaks["value"] == 0.0
+
+
+def test_salted_groups_match_a_plain_join(spark):
+    """At thresholds that salt one, some or all groups; with missing, NaN and signed zero keys."""
+    df = skewed(spark, 2000).withColumn("b", F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 7 == 1, float("nan")).otherwise(-0.0 * F.col("a")))
+    groups = df.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("label").alias("pos")).filter("a <> 3")
+    same = df["a"].eqNullSafe(F.col("ga")) & df["b"].eqNullSafe(F.col("gb"))
+    named = groups.withColumnsRenamed({"a": "ga", "b": "gb"})
+    plain = sorted(tuple(r) for r in df.join(named, same).select("id", "n", "pos").collect())
+    for hot_rows in (1, 3, 50, 400, 100_000):
+        got = join_groups(df, groups, ["a", "b"], "n", 2000, hot_rows=hot_rows)
+        assert sorted(tuple(r) for r in got.select("id", "n", "pos").collect()) == plain
+        semi = join_groups(df, groups, ["a", "b"], "n", 2000, "left_semi", hot_rows=hot_rows)
+        assert semi.columns == df.columns and sorted(r["id"] for r in semi.collect()) == [r[0] for r in plain]
+
+
+def test_no_task_holds_a_hot_group(spark):
+    df = skewed(spark, 30_000)
+    groups = df.groupBy("a").agg(F.count("*").alias("n"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        parts = lambda hot: sorted(r["c"] for r in join_groups(df, groups, ["a"], "n", 30_000, hot_rows=hot).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("c")).collect())
+        whole, salted = parts(100_000), parts(200)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(whole) == sum(salted) == 30_000
+    assert whole[-1] >= 10_000 and salted[-1] < 2_000

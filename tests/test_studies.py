@@ -100,3 +100,40 @@ def test_forest_profile(encoded):
     train, test = study.sides(encoded)
     row = explain.profile_forest("f", FOREST.fit(train, "x"), test, 1.0).first()
     assert row["trees"] == 10 and row["nodes"] > 10 and row["stored_mb"] > 0 and row["accuracy"] > 0.8
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 17, 64, 1000])
+def test_shuffles_are_one_to_one(n):
+    import numpy as np
+
+    from plumbrow.functions.permutation import permuted
+
+    numbers = np.arange(n)
+    images = [permuted(numbers, n, f"k{k}") for k in range(3)]
+    for image in images:
+        assert sorted(image) == list(range(n))
+        assert list(permuted(numbers[n // 2 :], n, "k0")) == list(images[0][n // 2 :])  # any part of the rows, on any task
+    if n >= 64:
+        assert (images[0] != images[1]).mean() > 0.8 and abs(np.corrcoef(numbers, images[0])[0, 1]) < 0.4
+
+
+def test_shuffles_take_one_feature_at_a_time(table, spark):
+    """No job scores more rows than the repeats of one feature, and a feature that nothing reads costs nothing."""
+    train, test = study.sides(table)
+    fitted, seen = FOREST.fit(train, "z"), []
+
+    class Counting:
+        column, model = fitted.column, fitted.model
+
+        def score(self, df):
+            seen.append(df.count())
+            return fitted.score(df)
+
+    got = explain.permutation_importance(Counting(), test, list("abcd"), KEY, repeats=3)
+    n = test.count()
+    assert sorted(seen) == [n] + [3 * n] * 4
+    again = explain.permutation_importance(fitted, test, list("abcd"), KEY, repeats=3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
+    constant = test.withColumn("z", F.transform("z", lambda x, i: F.when(i == 0, F.lit(1.5)).otherwise(x)))
+    still = {r["feature"]: r for r in explain.permutation_importance(fitted, constant, list("abcd"), KEY, repeats=2).collect()}
+    assert still["a"]["importance"] == pytest.approx(0, abs=1e-12) and still["a"]["std"] == 0
