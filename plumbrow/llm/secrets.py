@@ -17,9 +17,8 @@ DataFrame expression.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -50,8 +49,8 @@ _HEX, _LOWER, _UPPER = "0123456789ABCDEFabcdef", "0123456789abcdefghijklmnopqrst
 
 
 def _plain(run: str, letters: str) -> str:
-    """Whole runs of 20 and more that hold ``letters``; none beside a sample word of the same path part."""
-    return f"(?<!{run})(?<!(?i:example)[-_+])(?={letters})(?!{_PART}*{_SAMPLE}){run}{{20,}}"
+    """Whole runs of 20 and more that hold ``letters``; none beside a sample word of the same path part, up to 256 characters on."""
+    return f"(?<!{run})(?<!(?i:example)[-_+])(?={run}{{20}})(?={letters})(?!{_PART}{{0,256}}{_SAMPLE}){run}{{20,}}"
 
 
 # Thresholds: of random strings with these characters, one in a thousand has a lower entropy in its only window.
@@ -69,29 +68,61 @@ CLASSES = (
 )
 _WORD = "(?:[a-z]+(?:[A-Z][a-z]{2,})*+|[A-Z][a-z]*(?:[A-Z][a-z]{2,})*+|[A-Z]{2,15}|[0-9]+)(?![0-9A-Za-z])"
 ALLOW = (
-    "[0-9]+", "[0-9]{1,4}([-_/][0-9]{1,4})+",  # numbers and dates
+    "[0-9]+", "[0-9]{1,4}+(?:[-_/][0-9]{1,4}+)++",  # numbers and dates
     "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUIDs
     f"[-_/]*+(?:{_WORD}(?:[-_/]++{_WORD})*+[-_/]*+)?",  # words and numbers, and paths of them
 )
 
 
+CHUNK = 256  # elements that one running pass appends to an array
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body or its lambdas name it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(
+    items: Column, value: Callable[[Column], Column], combine: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], empty: Column,
+) -> Column:
+    """``emit(before, item)`` of every item, where ``before`` combines the whole numbers of all items before it (0 at first).
+
+    Appending to an array copies it, so items go in chunks: each starts at the combination of the
+    chunks before, and what they emit is joined at once.
+    """
+    zero = F.lit(0)
+    chunk = lambda xs, c: F.slice(xs, c * CHUNK + 1, F.lit(CHUNK))
+
+    def inside(xs: Column, c: Column, start: Column) -> Column:
+        begin = F.struct(start.alias("at"), empty.alias("out"))
+        step = lambda acc, x: F.struct(
+            combine(acc["at"], value(x)).alias("at"), F.concat(acc["out"], F.array(emit(acc["at"], x))).alias("out")
+        )
+        return F.aggregate(chunk(xs, c), begin, step, lambda acc: acc["out"])
+
+    def whole(xs: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / CHUNK).cast("int") - 1, zero))
+        totals = F.transform(chunks, lambda c: F.aggregate(chunk(xs, c), zero, lambda acc, x: combine(acc, value(x))))
+        starts = F.aggregate(totals, F.array(zero), lambda acc, t: F.concat(acc, F.array(combine(F.element_at(acc, -1), t))))
+        return _bound(starts, lambda known: F.flatten(F.transform(chunks, lambda c: inside(xs, c, F.get(known, c)))))
+
+    return _bound(items, whole)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, match) of every leftmost match; the pieces between give the positions."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    pieces = F.arrays_zip(
+        F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")
+    )
     empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    start = lambda acc, i: acc["at"] + F.length(F.element_at(gaps, i))
+    width = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))
 
-    def step(acc: Column, i: Column) -> Column:
-        hit = F.element_at(hits, i)
-        end = start(acc, i) + F.length(hit)
-        span = F.struct(start(acc, i).alias("start"), end.alias("end"), hit.alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def span(at: Column, x: Column) -> Column:
+        start = at + F.length(x["gap"])
+        return F.struct(start.alias("start"), (start + F.length(x["hit"])).alias("end"), x["hit"].alias("match"))
 
-    found = F.aggregate(
-        F.sequence(F.lit(1), F.size(hits)), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"]
-    )
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    found = _running(pieces, width, lambda a, b: a + b, span, empty)
+    return F.when(text.rlike(pattern), F.filter(found, lambda m: m["match"].isNotNull())).otherwise(empty)
 
 
 def _fixed(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -113,34 +144,37 @@ def hot_windows(string: Column, kind: CharacterClass) -> Column:
     The counts are one string with a character a count, so that a step replaces one character.
     """
     w = kind.window
-    steps = F.sequence(F.lit(1), F.length(string) + F.greatest(F.length(string) - w, F.lit(0)))
     # After the first window, odd steps take a character out and even steps take one in.
     late = lambda k: k > w
     out = lambda k: late(k) & ((k - w) % 2 == 1)
     place = lambda k: (
         F.when(~late(k), k).when(out(k), ((k - w + 1) / 2).cast("int")).otherwise(((k - w) / 2).cast("int") + w)
     )
-
-    def step(acc: Column, k: Column) -> Column:
-        code = F.instr(F.lit(kind.alphabet), string.substr(place(k), F.lit(1)))
-        count = F.ascii(acc["counts"].substr(code, F.lit(1))) - 48
-        after = count + F.when(out(k), -1).otherwise(1)
-        total = acc["total"] + _log_term(after) - _log_term(count)
-        entropy = F.lit(w).cast("double")
-        entropy = F.log2(entropy) - total / entropy
-        hot = ~out(k) & (k >= w) & (entropy >= kind.threshold - 1e-9)
-        window = place(k) - w
-        return F.struct(
-            F.overlay(acc["counts"], F.char(after + 48), code, 1).alias("counts"), total.alias("total"),
-            F.when(hot & (acc["first"] < 0), window).otherwise(acc["first"]).alias("first"),
-            F.when(hot, window).otherwise(acc["last"]).alias("last"),
-        )
-
     begin = F.struct(
         F.lit("0" * len(kind.alphabet)).alias("counts"), F.lit(0.0).alias("total"),
         F.lit(-1).alias("first"), F.lit(-1).alias("last"),
     )
-    return F.aggregate(steps, begin, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
+    def scanned(letters: Column) -> Column:
+        def step(acc: Column, k: Column) -> Column:
+            code = F.instr(F.lit(kind.alphabet), F.element_at(letters, place(k)))
+            count = F.ascii(acc["counts"].substr(code, F.lit(1))) - 48
+            after = count + F.when(out(k), -1).otherwise(1)
+            total = acc["total"] + _log_term(after) - _log_term(count)
+            entropy = F.lit(w).cast("double")
+            entropy = F.log2(entropy) - total / entropy
+            hot = ~out(k) & (k >= w) & (entropy >= kind.threshold - 1e-9)
+            window = place(k) - w
+            return F.struct(
+                F.overlay(acc["counts"], F.char(after + 48), code, 1).alias("counts"), total.alias("total"),
+                F.when(hot & (acc["first"] < 0), window).otherwise(acc["first"]).alias("first"),
+                F.when(hot, window).otherwise(acc["last"]).alias("last"),
+            )
+
+        steps = F.sequence(F.lit(1), F.length(string) + F.greatest(F.length(string) - w, F.lit(0)))
+        return F.aggregate(steps, begin, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
+    return _bound(F.split(string, ""), scanned)
 
 
 def _entropy_spans(text: Column, kind: CharacterClass, allow: Sequence[str]) -> Column:
@@ -180,9 +214,22 @@ def find_secrets(
     fixed = [_named(_fixed(body, *k), rank, k[0]) for rank, k in enumerate(KINDS)]
     extra = [_named(_entropy_spans(body, k, allow), len(KINDS) + rank, k.name) for rank, k in enumerate(classes)]
     rows = rows.select(*keep, F.array_sort(F.concat(*fixed)).alias("base"), *[e.alias(f"_{i}") for i, e in enumerate(extra)])
-    inside = lambda s: F.exists("base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
-    new = [F.filter(F.col(f"_{i}"), lambda s: ~inside(s)) for i in range(len(extra))]
-    return rows.select(*keep, "base", F.array_sort(reduce(F.concat, [F.col("base"), *new])).alias("spans"))
+    return rows.select(*keep, "base", _uncovered(F.array_sort(F.concat("base", *[F.col(f"_{i}") for i in range(len(extra))]))).alias("spans"))
+
+
+def _uncovered(spans: Column) -> Column:
+    """Spans by start and rank without those of a class inside a pattern's: the furthest end of the patterns up to a start tells."""
+    fixed = lambda s: s["rank"] < len(KINDS)
+    marked = "struct<start:int,rank:int,end:int,kind:string,inside:boolean>"
+    seen = _running(
+        spans, lambda s: F.when(fixed(s), s["end"]).otherwise(0), F.greatest,
+        lambda at, s: F.struct(
+            s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), (~fixed(s) & (at >= s["end"])).alias("inside"),
+        ),
+        F.array().cast(f"array<{marked}>"),
+    )
+    left = F.filter(seen, lambda s: ~s["inside"])
+    return F.transform(left, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind")]))
 
 
 def count_kind(spans: Column, kind: str) -> Column:

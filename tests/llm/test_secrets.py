@@ -4,6 +4,7 @@ import math
 import random
 import re
 import string
+import time
 from collections import Counter
 
 import pytest
@@ -113,3 +114,31 @@ def test_long_runs_and_many_parts(spark):
     for c in secrets.CLASSES:
         got = docs.select(F.size(secrets.matches(F.col("text"), c.pattern)).alias("n"), F.col("text").rlike(f"^(?:{allowed})$").alias("ok")).collect()
         assert all(r.n == len(re.findall(c.pattern, d.text)) for r, d in zip(got, docs.collect()))
+
+
+def shapes(size):
+    rng = random.Random(33)
+    sums = " ".join("".join(rng.choices("0123456789abcdef", k=32)) for _ in range(size // 33))
+    return [
+        "1/2/" * (size // 4), "".join(rng.choices(LOW + UP + DIGIT + "+/", k=size)), sums, "a/" * (size // 2) + "A9", "A" * size,
+        "token=abcdef " * (size // 13), "-_/" * (size // 3) + "1", "Ab1/" * (size // 4), "1-" * (size // 2),
+    ]
+
+
+def test_whole_operator_on_long_texts_of_every_shape(spark):
+    """No crash, and time that grows with the length."""
+    took = []
+    for size in (40_000, 160_000):
+        texts = shapes(size)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9)
+        begun = time.time()
+        got = {r.doc_id: (r.b, r.s) for r in secrets.find_secrets(docs, keep=["doc_id"]).select("doc_id", F.size("base").alias("b"), F.size("spans").alias("s")).collect()}
+        took.append(time.time() - begun)
+        assert len(got) == len(texts) and got[0] == (0, 0)
+        assert got[1][1] >= 1 and got[2] == (size // 33, size // 33) and got[5][0] == size // 13
+    assert took[1] < 8 * took[0] + 5
+
+
+def test_running_passes_over_several_chunks(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "CHUNK", 2)
+    test_spans(spark)
