@@ -29,6 +29,10 @@ from pyspark.sql import DataFrame, functions as F
 from plumbrow.llm import text as T
 
 
+POSTINGS = 1 << 20  # expanded at a time
+ALIGNED = 1 << 15  # bands aligned at a time
+
+
 @dataclass(frozen=True)
 class Settings:
     q: int = 12
@@ -165,23 +169,40 @@ class Index:
         row = np.searchsorted(offsets, hit, side="right") - 1
         inside = hit + s.q <= offsets[row + 1]
         hit, key = hit[inside], key[inside]
-        times = self.count[key]
-        text_at = np.repeat(hit, times)
-        posting = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.first[key], times)
-        window = self.window[posting].astype(np.int64)
-        diagonal = text_at - self.place[posting] + s.window  # not negative
-        band = diagonal // s.band
-        twice = (diagonal % s.band <= self.windows[window, 3]) & (band > 0)
-        span = len(data) // s.band + 2 * s.window
-        code = np.concatenate([window * span + band, window[twice] * span + band[twice] - 1])
-        code, counts = np.unique(code, return_counts=True)
-        window, band = code // span, code % span
-        enough = counts >= self.windows[window, 4]
-        window, band = window[enough], band[enough]
+        window, low = self._banded_hits(hit, key, len(data))
         if not len(window):
             return []
-        low = band * s.band - s.window
-        return self._joined(window, low, *self._align(data, offsets, window, low), offsets, at, raw_offsets)
+        parts = [self._align(data, offsets, window[n : n + ALIGNED], low[n : n + ALIGNED]) for n in range(0, len(window), ALIGNED)]
+        return self._joined(window, low, *(np.concatenate(x) for x in zip(*parts)), offsets, at, raw_offsets)
+
+    def _banded_hits(self, hit, key, size):
+        """Windows and lowest diagonals of the bands that hold enough shared q-grams.
+
+        Hits are taken with ``POSTINGS`` postings at a time, in the order of the text. A band that lies behind the
+        text that is still to come is settled, so the counts that are kept belong to a short stretch of text.
+        """
+        s = self.settings
+        span = size // s.band + 2 * s.window
+        bound, edits = self.windows[:, 4], self.windows[:, 3]
+        ends = np.cumsum(self.count[key])
+        total = int(ends[-1]) if len(ends) else 0
+        code, counts, done = np.empty(0, np.int64), np.empty(0, np.int64), []
+        for first in range(0, total, POSTINGS):
+            place = np.arange(first, min(first + POSTINGS, total))
+            n = np.searchsorted(ends, place, side="right")
+            posting = place - (ends[n] - self.count[key[n]]) + self.first[key[n]]
+            window = self.window[posting].astype(np.int64)
+            diagonal = hit[n] - self.place[posting] + s.window  # not negative
+            band = diagonal // s.band
+            twice = (diagonal % s.band <= edits[window]) & (band > 0)
+            new = np.concatenate([window * span + band, window[twice] * span + band[twice] - 1])
+            code, counts = T.pooled(np.concatenate([code, new]), np.concatenate([counts, np.ones(len(new), np.int64)]))
+            # Every later hit lies on a diagonal above its own place in the text.
+            settled = (code % span + 1) * s.band + self.most < hit[n[-1]] if place[-1] + 1 < total else np.ones(len(code), bool)
+            done.append(code[settled & (counts >= bound[code // span])])
+            code, counts = code[~settled], counts[~settled]
+        code = np.sort(np.concatenate([np.empty(0, np.int64), *done]))
+        return code // span, code % span * s.band - s.window
 
     def _align(self, data, offsets, window, low):
         """Fewest edits of each window inside its band, the row and the place where that alignment ends.

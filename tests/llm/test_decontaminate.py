@@ -1,6 +1,7 @@
 """Verified passages against full alignments, and documents that stay."""
 
 import random
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -134,3 +135,28 @@ def test_short_items_are_whole_words(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     left = D.clean_documents(docs, spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(r.doc_id for r in left.collect()) == [1, 3, 6, 7, 8]
+
+
+@pytest.mark.parametrize("size", [24_000, 96_000])
+def test_repetitive_text_in_bounded_memory(size):
+    """Every q-gram of the text meets every window of the item."""
+    index = D.Index([(1, "ha " * 100)], D.Settings())
+    tracemalloc.start()
+    found = index.search(pa.array(["ha " * (size // 3)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250 << 20
+    assert [f[:2] for f in found] == [(0, 1)] and found[0][3] - found[0][2] > 0.9 * size and found[0][4] == 0
+
+
+def test_small_slices_give_the_same(spark, sf, monkeypatch):
+    docs = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()] + [(-1, "ha " * 60), (-2, "so on and so on " * 9)]
+    column = pa.array([*docs, "ha " * 500, None, "", "it went so on and so on " + "so on and so on " * 12])
+    index = D.Index(items, D.Settings())
+    whole = index.search(column)
+    assert {f[1] for f in whole} >= {-1, -2} and len(whole) >= 5
+    for postings, aligned in ((500, 1), (1013, 50)):
+        monkeypatch.setattr(D, "POSTINGS", postings)
+        monkeypatch.setattr(D, "ALIGNED", aligned)
+        assert index.search(column) == whole
