@@ -4,15 +4,16 @@ Every byte that is covered by a string of ``length`` bytes which also starts any
 The table is cut down to the passages that can hold such strings, and these are suffix-sorted:
 
 1. Anchors. Of the ``gram``-byte strings inside any string of ``length`` bytes, those with the least
-   hash are anchors, so equal strings have equal anchors. The passage of an anchor is all that strings
-   around it can cover. Anchors and digests of their passages are dealt to buckets. A passage that occurs
+   hash are anchors, so equal strings have equal anchors. A string belongs to the last of its least grams;
+   the strings of an anchor start side by side, and its passage is what they cover. Anchors and digests of
+   their passages are dealt to buckets. A passage that occurs
    twice is repeated as a whole; where it stands next to a different one of the same anchor, one
    occurrence is asked for.
-2. Passages of an anchor meet in a suffix array. Suffixes smaller than their successors are sorted
+2. Passages of an anchor meet in a suffix array of the suffixes that start its strings. Suffixes smaller than their successors are sorted
    directly, the others are induced by scans over the buckets of first bytes. Neighbours in that
    order whose common prefix has ``length`` bytes are repeats.
 3. An anchor with more than ``group`` different passages (by a sketch that never counts too few) is not
-   gathered. The strings of ``length`` bytes around it are dealt to buckets one by one and counted there;
+   gathered. Its strings of ``length`` bytes are dealt to buckets one by one and counted there;
    equal ones are pooled before they travel, so a frequent string loads no task.
 4. The covered ranges go back to the documents, which are cut.
 
@@ -40,18 +41,21 @@ from plumbrow.session import settle
 class Settings:
     length: int = 400
     gram: int = 200
-    group: int = 512  # different passages of an anchor that are sorted together
+    group: int = 4096  # different passages of an anchor that are sorted together: about 2 MB
     chunk: int = 150_000  # anchors that a task packs at a time
     bucket: int = 200_000  # anchors in a bucket
-    sorted_bytes: int = 1 << 20  # text in a suffix array, about
+    sorted_bytes: int = 1 << 21  # text in a suffix array, about
 
 
 # ---------------------------------------------------------------- suffix sorting
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
+def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """Suffixes in the order of their first ``depth`` bytes at least, by two-stage sorting.
 
+    With ``wanted`` (a flag for each place) only those, and what they are induced from: the places up to the next
+    small suffix.
+
     A suffix is small if it precedes the suffix that starts one byte later. Small ones are sorted directly.
     A large suffix starts with a byte above its successor's, or with the same byte as a large
     successor; going through the buckets of first bytes upwards, every ready suffix puts the large one before
@@ -66,17 +70,23 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     ahead = np.where(decided, np.arange(n), n)
     ahead = np.minimum.accumulate(ahead[::-1])[::-1]
     large = np.append(falls, True)[ahead]
+    active = np.ones(n, bool)
+    if wanted is not None:  # a place is active if it is wanted or follows an active large one
+        places = np.arange(n)
+        run = np.maximum.accumulate(np.where(np.append(True, ~large[:-1]), places, 0))  # large ones and the small one behind
+        active = np.maximum.accumulate(np.where(wanted, places, -1)) >= run
     raw = data.tobytes()
-    small = np.array(sorted(np.flatnonzero(~large).tolist(), key=lambda i: raw[i : i + depth]), np.int64)
+    small = np.array(sorted(np.flatnonzero(~large & active).tolist(), key=lambda i: raw[i : i + depth]), np.int64)
     small_first = np.searchsorted(data[small], np.arange(257)) if len(small) else np.zeros(257, np.int64)
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[data[-1]].append(np.array([n - 1]))
+    if active[-1]:
+        waiting[data[-1]].append(np.array([n - 1]))
     out = []
 
     def induce(ready: np.ndarray, byte: int) -> np.ndarray:
         """Hand on the large suffixes before ``ready``; returns those of the same bucket."""
         before = ready[ready > 0] - 1
-        before = before[large[before]]
+        before = before[large[before] & active[before]]
         first = data[before]
         here = before[first == byte]
         others = first > byte
@@ -131,10 +141,10 @@ def repeated_starts(passages: list[bytes], length: int) -> list[np.ndarray]:
     lengths = np.array([len(p) for p in passages])
     data = np.frombuffer(b"".join(passages), np.uint8)
     ends = np.cumsum(lengths)
-    order = suffix_array(data, length)
+    fits = np.repeat(ends, lengths) - np.arange(len(data)) >= length
+    order = suffix_array(data, length, fits)
+    order = order[fits[order]]  # others stand between, but equal strings are next to each other
     owner = np.searchsorted(ends, order, side="right")
-    fits = ends[owner] - order >= length
-    order, owner = order[fits], owner[fits]  # shorter ones stand between, but equal strings are next to each other
     equal = common_prefixes(data, order, length) >= length
     hit = np.zeros(len(order), bool)
     hit[:-1] |= equal
@@ -157,6 +167,25 @@ def covered(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 # ---------------------------------------------------------------- anchors
 
 
+def owned(place: np.ndarray, h: np.ndarray, row: np.ndarray, offsets: np.ndarray, settings: Settings):
+    """First and last start of the strings of every anchor, of which it is the last least gram; none if last < first.
+
+    The next gram that is as small ends an anchor's strings. Owners go up with the starts, so that an anchor's
+    strings begin behind those of all anchors before it.
+    """
+    w = settings.length - settings.gram + 1
+    last = np.minimum(place, offsets[row + 1] - settings.length)
+    open_, step = np.arange(len(place)), 1
+    while len(open_):
+        open_ = open_[open_ + step < len(place)]
+        open_ = open_[place[open_ + step] - place[open_] < w]
+        ended = h[open_ + step] <= h[open_]
+        last[open_[ended]] = np.minimum(last[open_[ended]], place[open_[ended] + step] - w)
+        open_, step = open_[~ended], step + 1
+    before = np.concatenate([[-1], np.maximum.accumulate(last)[:-1]]) if len(place) else last
+    return np.maximum(before + 1, offsets[row]), last
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, place in the buffer and hash of every anchor: the least gram (the last of equal ones) of every ``length`` bytes."""
     g, w = settings.gram, settings.length - settings.gram + 1
@@ -193,8 +222,9 @@ def _passages(piece: pa.RecordBatch, settings: Settings):
     """Of every anchor: row, start in the row, hash, and the digest, start and end of its passage; and the buffers."""
     data, offsets = T.buffers(piece.column("text"))
     row, place, h = anchors(data, offsets, settings)
-    start = np.maximum(place + settings.gram - settings.length, offsets[row])
-    end = np.minimum(place + settings.length, offsets[row + 1])
+    start, end = owned(place, h, row, offsets, settings)
+    some = end >= start
+    row, place, h, start, end = row[some], place[some], h[some], start[some], end[some] + settings.length
     digest = np.empty(0, np.uint64)
     if len(place):
         prefix = T.prefix_hash(data)
@@ -228,6 +258,20 @@ def _pool(h, digest, k1, k2, start, end):
     return order[first], many, repeated
 
 
+def _joined(k1, k2, start, end):
+    """The given ranges, those of a document that overlap as one."""
+    order = np.lexsort((end, start, k2, k1))
+    k1, k2, start, end = k1[order], k2[order], start[order], end[order]
+    new = np.ones(len(k1), bool)
+    new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+    document = np.cumsum(new) << 32
+    reach = np.maximum.accumulate(document + end)
+    new[1:] |= reach[:-1] < document[1:] + start[1:]
+    first = np.flatnonzero(new)
+    close = np.append(first[1:], len(k1)) - 1
+    return k1[first], k2[first], start[first], (reach[close] - document[close]).astype(np.int32)
+
+
 def _send(settings: Settings, buckets: int, sketch):
     """Packed anchors of every chunk of documents, a row a bucket; ranges known to be repeated go along in buckets below 0."""
 
@@ -250,6 +294,8 @@ def _send(settings: Settings, buckets: int, sketch):
                     t = take[a:b]
                     out.append((int(bucket[a]), *(x[t].tobytes() for x in (h, digest, k1, k2, start, end)), many[a:b].tobytes(), None))
                 if len(repeated):
+                    k1, k2, start, end = _joined(k1[repeated], k2[repeated], start[repeated], end[repeated])
+                    repeated = np.arange(len(k1))
                     out.append((-1 - int(k1[repeated[0]] % buckets), None, None, *(x[repeated].tobytes() for x in (k1, k2, start, end)), None, b"1"))
             columns = list(zip(*out)) if out else [()] * 9
             return pa.record_batch([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], SENT)

@@ -28,6 +28,41 @@ def test_suffix_array(seed):
         assert n == same
 
 
+@pytest.mark.parametrize("seed", range(25))
+def test_wanted_suffixes(seed):
+    rng = random.Random(seed)
+    raw = bytes(rng.choices(rng.choice([b"a", b"ab", b"abc"]), k=rng.randint(1, 300)))
+    wanted = np.array([rng.random() < 0.3 for _ in raw])
+    order = suffixes.suffix_array(np.frombuffer(raw, np.uint8), 10**6, wanted)
+    assert [i for i in order.tolist() if wanted[i]] == sorted(np.flatnonzero(wanted).tolist(), key=lambda i: raw[i:])
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_every_string_has_one_owner(seed):
+    rng = random.Random(seed)
+    settings = Settings(length=30, gram=12)
+    texts = [bytes(rng.choices(rng.choice([b"a", b"ab", b"abcdef"]), k=rng.choice([5, 29, 30, 31, 90, 200]))) for _ in range(6)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    row, place, h = suffixes.anchors(np.frombuffer(b"".join(texts), np.uint8), offsets, settings)
+    first, last = suffixes.owned(place, h, row, offsets, settings)
+    of = {}
+    for a, b, p, v in zip(first.tolist(), last.tolist(), place.tolist(), h.tolist()):
+        for s in range(a, b + 1):
+            assert s not in of and s <= p <= s + 18
+            of[s] = (p - s, v)
+    whole = {o + i for o, t in zip(offsets.tolist(), texts) for i in range(len(t) - 29)}
+    assert of.keys() == whole
+    joined = b"".join(texts)
+    by = {}
+    for s, owner in of.items():
+        assert by.setdefault(joined[s : s + 30], owner) == owner  # equal strings, equal places
+
+
+def test_joined_ranges():
+    got = suffixes._joined(*(np.array(c, t) for c, t in zip(zip(*[(1, 1, 5, 9), (1, 1, 0, 4), (1, 2, 4, 8), (1, 1, 8, 12), (1, 2, 1, 4)]), ("i8", "i8", "i4", "i4"))))
+    assert list(zip(*(x.tolist() for x in got))) == [(1, 1, 0, 4), (1, 1, 5, 12), (1, 2, 1, 8)]
+
+
 def check(rows, got, length):
     want = {i: w for (i, _), w in zip(rows, cut([t for _, t in rows], length))}
     assert len(got) == len(rows)
