@@ -116,16 +116,18 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     if len(order) < 2:
         return np.zeros(max(len(order) - 1, 0), np.int64)
     padded = np.concatenate([data, np.zeros(most + 8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    words = np.empty(len(data) + most + 1, np.uint64)  # the 8 bytes from each place on
+    for shift in range(8):
+        part = padded[shift : shift + (len(words) - shift) // 8 * 8 + 8]
+        whole = part[: len(part) // 8 * 8].view(np.uint64)
+        words[shift::8] = whole[: len(words[shift::8])]
     a, b = order[:-1], order[1:]
     room = np.minimum(len(data) - np.maximum(a, b), most)
     out = np.zeros(len(a), np.int64)
     alive = np.arange(len(a))
     at = 0
     while len(alive) and at < most:
-        x = np.ascontiguousarray(words[a[alive] + at]).view(np.uint64).ravel()
-        y = np.ascontiguousarray(words[b[alive] + at]).view(np.uint64).ravel()
-        differ = x ^ y
+        differ = words[a[alive] + at] ^ words[b[alive] + at]
         same = differ == 0
         ended = alive[~same]
         low = differ[~same]
@@ -144,14 +146,13 @@ def repeated_starts(passages: list[bytes], length: int) -> list[np.ndarray]:
     fits = np.repeat(ends, lengths) - np.arange(len(data)) >= length
     order = suffix_array(data, length, fits)
     order = order[fits[order]]  # others stand between, but equal strings are next to each other
-    owner = np.searchsorted(ends, order, side="right")
     equal = common_prefixes(data, order, length) >= length
     hit = np.zeros(len(order), bool)
     hit[:-1] |= equal
     hit[1:] |= equal
-    starts = np.concatenate([[0], ends])[owner[hit]]
-    place = order[hit] - starts
-    return [np.sort(place[owner[hit] == i]) for i in range(len(passages))]
+    found = np.sort(order[hit])
+    edges = np.searchsorted(found, np.concatenate([[0], ends]))
+    return [found[a:b] - start for a, b, start in zip(edges[:-1], edges[1:], (ends - lengths).tolist())]
 
 
 def covered(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
