@@ -69,7 +69,12 @@ class Network:
     def gradient(self, flat: np.ndarray, x: np.ndarray, rng: np.random.Generator | None = None) -> np.ndarray:
         """Gradient of the mean squared reconstruction error."""
         values = self.forward(flat, x, rng)
-        delta = 2.0 * (values[-1] - x) / x.size
+        return self.backward(flat, values, 2.0 * (values[-1] - x) / x.size, rng)
+
+    def backward(
+        self, flat: np.ndarray, values: list[np.ndarray], delta: np.ndarray, rng: np.random.Generator | None = None,
+    ) -> np.ndarray:
+        """Gradient of the weights from the gradient ``delta`` of the output."""
         parts: list[np.ndarray] = []
         for i, (w, _) in reversed(list(enumerate(self.layers(flat)))):
             out, act = values[i + 1], self.activations[i]
