@@ -10,7 +10,9 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
+)
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -39,6 +41,12 @@ def _boosted(s: dict[str, Any]):
     )
 
 
+def _perceptron(s: dict[str, Any]):
+    return MultilayerPerceptronClassifier(
+        layers=[s["width"], *s.get("hidden", (64, 32)), 2], maxIter=s.get("rounds", 300), seed=s["seed"],
+    )
+
+
 def _margin(s: dict[str, Any]):
     return LinearSVC(regParam=1.0 / (s.get("c", 10.0) * s["rows"]), maxIter=s.get("rounds", 100), standardization=False)
 
@@ -46,6 +54,7 @@ def _margin(s: dict[str, Any]):
 FAMILIES: dict[str, Callable[[dict[str, Any]], Any]] = {
     "forest": _forest,
     "boosting": _boosted,
+    "perceptron": _perceptron,
     "fourier_svm": _margin,
     "logistic": lambda s: LogisticRegression(maxIter=s.get("rounds", 100)),
 }
@@ -56,13 +65,13 @@ def _histogram(rows: DataFrame, s: dict[str, Any], weight: str | None, label: st
     return fit_boosted(rows, growth, "f", label, weight)
 
 
-def _perceptron(rows: DataFrame, s: dict[str, Any], weight: str | None, label: str):
+def _relu_perceptron(rows: DataFrame, s: dict[str, Any], weight: str | None, label: str):
     hidden, epochs = s.get("hidden", (64, 32)), s.get("rounds", 300)
     return fit_perceptron(rows, hidden, epochs, s.get("batch", 200), seed=s["seed"], label=label, weight=weight)
 
 
 #: Families fitted by this library on arrays; their models have ``probability``.
-OWN: dict[str, Callable[[DataFrame, dict[str, Any], str | None, str], Any]] = {"histogram": _histogram, "perceptron": _perceptron}
+OWN: dict[str, Callable[[DataFrame, dict[str, Any], str | None, str], Any]] = {"histogram": _histogram, "relu_perceptron": _relu_perceptron}
 
 
 @dataclass(frozen=True)
@@ -101,6 +110,8 @@ class Classifier:
             rows = with_weight(rows, label, weights, weight)
         if self.family in OWN:
             return FittedClassifier(OWN[self.family](rows, settings, weight, label), column)
+        if self.family == "perceptron":
+            settings["width"] = len(rows.select("f").first()["f"])
         estimator = FAMILIES[self.family](settings).setFeaturesCol("v").setLabelCol(label)
         if weight:
             estimator = estimator.setWeightCol(weight)
@@ -112,7 +123,7 @@ class Classifier:
 CONFIGURATIONS = {
     "random_forest_ablation": Classifier("forest", {"trees": 200}),
     "gradient_boosting": Classifier("boosting", {"rounds": 100, "rate": 0.1, "depth": 3}),
-    "mlp": Classifier("perceptron", {"hidden": (64, 32), "rounds": 300}),
+    "mlp": Classifier("relu_perceptron", {"hidden": (64, 32), "rounds": 300}),
     "svm": Classifier("fourier_svm", {"c": 10.0, "gamma": "scale"}),
     "RandomForest": Classifier("forest", {"trees": 300}, "balanced"),
     "HistGradBoost": Classifier("histogram", {"rounds": 400, "patience": 10}, "balanced"),
