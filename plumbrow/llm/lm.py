@@ -253,7 +253,7 @@ class Filter:
         left = np.ones(len(alive), bool)
         for i in range(self.probes):
             at = start + _place(a, size)
-            hit = self.bits[at >> 3]
+            hit = self.bits.take(at >> 3)
             hit >>= (at & 7).astype(np.uint8)
             left &= (hit & 1).view(bool)
             a += step
@@ -265,17 +265,24 @@ class Filter:
         return alive
 
 
+def _looked_up(key: np.ndarray, lookup, buckets: int) -> np.ndarray:
+    """Levels of n-grams: the distinct ones are probed bucket by bucket, so that probes stay close together."""
+    bucket, prints = _split(key, buckets)
+    code, where = np.unique((bucket.astype(np.uint64) << np.uint64(32)) | prints, return_inverse=True)
+    return lookup((code >> np.uint64(32)).astype(np.int64), code.astype(np.uint32))[where]
+
+
 def _score(h: np.ndarray, row: np.ndarray, rows: int, distinct: np.ndarray, where: np.ndarray, lookup, model: Model) -> np.ndarray:
     """log10 probability of every row; ``distinct[where]`` are the tokens."""
     if not len(h):
         return np.zeros(rows)
     value, begin, marks = _level_values(model.settings.base), _begins(row), _marks(model.settings.order)
-    seen = value[lookup(*_split(_number(distinct, 1), model.buckets))][where]
+    seen = value[_looked_up(_number(distinct, 1), lookup, model.buckets)][where]
     probability = (seen + 1) / (model.n + model.v + 1)
     for n, full in enumerate(grams(h, row, model.settings.order)[1:], start=2):
         total = np.concatenate([[0], seen[:-1]])
         total[begin] = value[lookup(*_split(marks[n - 2 : n - 1], model.buckets))]
-        seen = np.minimum(value[lookup(*_split(full, model.buckets))], total)
+        seen = np.minimum(value[_looked_up(full, lookup, model.buckets)], total)
         prior = model.settings.prior[min(n - 2, len(model.settings.prior) - 1)]
         probability = (seen + prior * probability) / (total + prior)
     return np.bincount(row, np.log10(probability), minlength=rows)

@@ -109,3 +109,18 @@ def test_tokens_end_every_row_and_grams_start_anew():
     assert uni[2] == uni[3] and uni[0] == uni[4]
     assert bi[0] == bi[4] and len(set(bi.tolist())) == 5
     assert lm._marks(2)[0] not in set(bi.tolist()) | set(uni.tolist())
+
+
+def test_every_ngram_of_a_piece_is_probed_once_and_by_bucket():
+    key = np.random.default_rng(3).integers(0, 2**63, 400).astype(np.uint64)
+    asked = []
+
+    def lookup(bucket, prints):
+        asked.append((bucket, prints))
+        return (prints % np.uint32(7)).astype(np.int64)
+
+    got = lm._looked_up(np.concatenate([key, key[::-1], key[:50]]), lookup, 5)
+    assert (got == np.concatenate([key, key[::-1], key[:50]]).astype(np.uint32) % 7).all()
+    (bucket, prints), = asked
+    assert len(prints) == 400 and (np.diff(bucket) >= 0).all() and (bucket == lm._split(np.sort(key), 5)[0][0]).any()
+    assert len(lm._looked_up(key[:0], lookup, 5)) == 0
