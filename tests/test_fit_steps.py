@@ -1,9 +1,11 @@
-"""Partitions of forests."""
+"""Partitions of forests, and K-Means steps of several starts in one job."""
 
 import numpy as np
+import pytest
+from pyspark.ml.clustering import KMeans
 
 from plumbrow.operators import classifiers
-from plumbrow.operators.classifiers import Classifier
+from plumbrow.operators.classifiers import Classifier, best_kmeans, lloyd
 
 
 def points(spark, n=400, tasks=3):
@@ -24,3 +26,37 @@ def test_a_forest_reads_parts_of_bounded_size(spark, monkeypatch):
     sizes = seen[0].rdd.glom().map(len).collect()
     assert len(sizes) == 16 and sum(sizes) == 400 and max(sizes) <= 35
     assert classifiers.forest_parts(rows.limit(0), "z", 3).count() == 0
+
+
+def test_starts_end_as_those_of_spark(spark):
+    rows, _ = points(spark)
+    vectors = classifiers.as_vector(rows, "z", "v")
+    want = [KMeans(k=2, featuresCol="v", seed=42 + i, maxIter=300).fit(vectors) for i in range(4)]
+    best = min(want, key=lambda m: m.summary.trainingCost)
+    got = best_kmeans(rows, "z", starts=4)  # several starts end at the least cost
+    order = lambda m: sorted(c.tolist() for c in m.clusterCenters())
+    assert np.allclose(order(got), order(best))
+    assert got.summary.trainingCost == pytest.approx(best.summary.trainingCost)
+
+
+def test_one_job_a_step_serves_all_starts(spark):
+    rows, x = points(spark)
+    # The middles of the third start hold all rows and none: the empty cluster keeps its centre.
+    starts = [x[[0, 399]], x[[3, 5]], np.stack([np.zeros(4), np.full(4, 1e6)])]
+    sc = spark.sparkContext
+    sc.setJobGroup("steps", "steps")
+    try:
+        found = lloyd(rows.select("z"), starts)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("steps"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    steps = [f.summary.numIter for f in found]
+    assert sum(steps) > max(steps) + 2
+    # A step is one query: its shuffles are jobs of their own with adaptive execution.
+    assert jobs <= 3 * max(steps)
+    for first, f in zip(starts, found):
+        centers = first
+        for _ in range(f.summary.numIter):
+            own = np.square(x[:, None] - centers[None]).sum(axis=2).argmin(axis=1)
+            centers = np.stack([x[own == c].mean(axis=0) if (own == c).any() else centers[c] for c in range(2)])
+        assert np.allclose(np.stack(f.clusterCenters()), centers)
