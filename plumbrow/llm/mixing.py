@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plumbrow.session import settle
 
 BLOCK_ROWS = 4096
+PART_BYTES = 8 << 20  # texts that meet their numbers in one task, about
 LANDING = 8  # documents of a source that the landing decides, beside the two that the flight leaves
 MAX_SOURCES = 1_000_000  # sources with their totals are collected; more are refused
 NEAR_SOURCES = 100_000  # up to so many sources are broadcast to their rows
@@ -181,10 +182,17 @@ def mixed_documents(
 ) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it."""
     mixed = mix_sources(docs, weights, share, cap, seed, doc_id, text, source)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(1, math.ceil(size / PART_BYTES))
     taken = mixed.groupBy(F.col("tie").alias("_tie")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    rows = docs.withColumn("_row", row_hash(doc_id, text, source)).join(taken.filter("_copies > 0"), F.col("_row") == F.col("_tie"))
+    taken = taken.filter("_copies > 0").repartition(parts, "_tie")
+    rows = docs.withColumn("_row", row_hash(doc_id, text, source)).repartition(parts, "_row")
+    # The few numbers of a part are hashed and the texts pass by: only texts that occur more than once are sorted.
+    match = lambda wanted: rows.join(taken.filter(wanted).hint("shuffle_hash"), F.col("_row") == F.col("_tie"))
+    alone = match("_rows = 1").withColumn("_times", F.col("_copies"))
     # Equal rows share what was drawn for them.
     number = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
     times = F.floor(F.col("_copies") / F.col("_rows")) + (number <= F.col("_copies") % F.col("_rows")).cast("long")
-    rows = rows.withColumn("_times", times).filter("_times > 0")
+    equal = match("_rows > 1").withColumn("_times", times).filter("_times > 0")
+    rows = alone.unionByName(equal)
     return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)

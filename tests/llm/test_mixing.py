@@ -118,3 +118,23 @@ def test_a_source_lands_whatever_the_others_are(spark, monkeypatch):
     assert alone == {i: n for i, n in beside.items() if i < 1000}
     # Ten documents have a thousand outcomes; with four the nearest is off by tens of words.
     assert all(abs(x) <= 15 for x in missed.values()), dict(missed)
+
+
+def test_texts_of_the_mix_are_not_sorted_and_meet_their_numbers_in_small_parts(spark, monkeypatch, capsys):
+    monkeypatch.setattr(mixing, "PART_BYTES", 100)
+    rows = [(i, "w " * (1 + i % 9), "ab"[i % 2], i) for i in range(60)] + [(100, "x y z", "a", 100 + n) for n in range(7)] + [(None, None, None, 999)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other long")
+    mixed = mixing.mixed_documents(docs, lambda n: (3, 1, 2)[n % 3])
+    mixed.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" not in plan and "REPARTITION_BY_NUM" in plan and "SinglePartition" not in plan
+    want, got = defaultdict(int), defaultdict(int)
+    for r in mixing.mix_sources(docs, lambda n: (3, 1, 2)[n % 3]).collect():
+        want[r.doc_id] += r.copies
+    equal = defaultdict(int)
+    for r in mixed.collect():
+        got[r.doc_id] += 1
+        equal[r.other] += r.doc_id == 100
+    assert got == {i: n for i, n in want.items() if n}
+    shares = [equal[100 + n] for n in range(7)]
+    assert max(shares) - min(shares) <= 1
