@@ -113,7 +113,7 @@ def profile_forest(
     rows = test.count()
     scored = fitted.score(test)
     path = scratch_path(spark, "model")
-    fitted.model.write().overwrite().save(path)
+    fitted.model.save(path)
     accuracy = scored.agg(F.avg((F.col("pred") == F.col(label)).cast("double"))).first()[0]
     row = (
         name, fitted.model.numFeatures, train_seconds, _score_ms(scored, rows), None, None,

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.linalg import Vectors
 
 from plumbrow.operators import classifiers
 from plumbrow.operators.classifiers import Classifier, best_kmeans, lloyd
@@ -60,3 +61,34 @@ def test_one_job_a_step_serves_all_starts(spark):
             own = np.square(x[:, None] - centers[None]).sum(axis=2).argmin(axis=1)
             centers = np.stack([x[own == c].mean(axis=0) if (own == c).any() else centers[c] for c in range(2)])
         assert np.allclose(np.stack(f.clusterCenters()), centers)
+
+
+def test_deep_trees_are_grown_in_groups_over_few_partitions(spark, monkeypatch, tmp_path):
+    rows, x = points(spark, tasks=6)
+    seen = []
+    real = classifiers.as_vector
+    monkeypatch.setattr(classifiers, "as_vector", lambda df, *a: seen.append(df) or real(df, *a))
+    fitted = Classifier("forest", {"trees": 30, "depth": 20}, "balanced").fit(rows, "z")
+    assert len(seen) == 12 and {df.rdd.getNumPartitions() for df in seen} == {1}  # one partition and six before
+    forest = fitted.model
+    assert [f.getNumTrees for f in forest.forests] == [3] * 6 + [2] * 6 and forest.getNumTrees == 30
+    assert len({t.toDebugString for f in forest.forests for t in f.trees}) == 30  # no two groups draw the same rows
+
+    # The score is the mean over all trees of the class shares of their leaves.
+    scored = sorted(fitted.score(rows).collect(), key=lambda r: r["i"])
+    trees = [t for f in forest.forests for t in f.trees]
+    vector = lambda r: Vectors.dense(r["z"])
+    for r in scored[:5] + scored[-5:]:
+        votes = np.sum([t.predictRaw(vector(r)).toArray() / t.predictRaw(vector(r)).toArray().sum() for t in trees], axis=0)
+        assert r["score"] == pytest.approx(votes[1] / votes.sum()) and r["pred"] == int(votes.argmax())
+    assert set(scored[0].asDict()) == {"i", "label", "z", "score", "pred"}
+    assert np.mean([r["pred"] == r["label"] for r in scored]) > 0.95
+    assert forest.featureImportances.toArray().sum() == pytest.approx(1) and forest.numFeatures == 4
+    assert forest.totalNumNodes == sum(t.numNodes for t in trees)
+    forest.save(str(tmp_path / "forest"))
+
+    # Shallow trees and tables that fill the cores by themselves are Spark's alone.
+    assert not hasattr(Classifier("forest", {"trees": 3, "depth": 12}).fit(rows, "z").model, "forests")
+    monkeypatch.setattr(classifiers, "TASK_BYTES", 25 * (4 * 4 + 8 * 3 + 330))
+    seen.clear()
+    assert not hasattr(Classifier("forest", {"trees": 30, "depth": 20}).fit(rows, "z").model, "forests") and len(seen) == 1
