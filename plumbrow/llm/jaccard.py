@@ -37,6 +37,8 @@ from plumbrow.llm.components import components
 from plumbrow.llm.sketch import Sketch, count_keys
 from plumbrow.session import settle
 
+PIECE_BYTES = 512 << 10  # texts that are hashed at a time; their words take some 50 times as much memory
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -75,14 +77,15 @@ def _pack_sets(settings: Settings, buckets: int):
 
         def flush():
             ids = pa.concat_arrays([w[0] for w in waiting])
-            keys = np.concatenate([w[1] for w in waiting])
             counts = np.concatenate([np.diff(w[2]) for w in waiting])
             names = [d for w in waiting for d in _digests(w[1], w[2])]
-            row = np.repeat(np.arange(len(counts)), counts)
-            bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket * len(counts) + row, kind="stable")
-            own = bucket[order]
-            edges = np.searchsorted(own, np.arange(buckets + 1))
+            keys = np.concatenate([w[1] for w in waiting])
+            waiting.clear()  # a chunk is in memory once
+            row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+            bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+            order = np.argsort(bucket, kind="stable").astype(np.int32)  # rows ascend already
+            edges = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+            del bucket
             out = []
             for b in range(buckets):
                 part = order[edges[b] : edges[b + 1]]
@@ -110,13 +113,13 @@ def _pack_sets(settings: Settings, buckets: int):
             ]
 
         for batch in batches:
-            for piece in T.pieces(batch):
+            for piece in T.pieces(batch, limit=PIECE_BYTES):
                 keys, offsets = T.shingle_sets(piece.column("text"), settings.width)
                 waiting.append((piece.column("doc_id"), keys, offsets))
                 size += len(keys) + piece.num_rows
                 if size > settings.chunk:
                     yield from flush()
-                    waiting, size, chunk = [], 0, chunk + 1
+                    size, chunk = 0, chunk + 1
         if waiting:
             yield from flush()
 
@@ -407,7 +410,7 @@ def _joined(docs: DataFrame, settings: Settings, doc_id: str, text: str) -> Data
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in T.pieces(batch):
+            for piece in T.pieces(batch, limit=PIECE_BYTES):
                 keys, offsets = T.shingle_sets(piece.column("text"), settings.width)
                 names = pa.array(_digests(keys, offsets), pa.binary())
                 blob = pa.LargeBinaryArray.from_buffers(
