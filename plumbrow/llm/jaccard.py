@@ -37,8 +37,6 @@ from plumbrow.llm.components import components
 from plumbrow.llm.sketch import Sketch, count_keys
 from plumbrow.session import settle
 
-PIECE_BYTES = 512 << 10  # texts that are hashed at a time; their words take some 50 times as much memory
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -113,7 +111,7 @@ def _pack_sets(settings: Settings, buckets: int):
             ]
 
         for batch in batches:
-            for piece in T.pieces(batch, limit=PIECE_BYTES):
+            for piece in T.pieces(batch, limit=T.HASH_BYTES):
                 keys, offsets = T.shingle_sets(piece.column("text"), settings.width)
                 waiting.append((piece.column("doc_id"), keys, offsets))
                 size += len(keys) + piece.num_rows
@@ -410,7 +408,7 @@ def _joined(docs: DataFrame, settings: Settings, doc_id: str, text: str) -> Data
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in T.pieces(batch, limit=PIECE_BYTES):
+            for piece in T.pieces(batch, limit=T.HASH_BYTES):
                 keys, offsets = T.shingle_sets(piece.column("text"), settings.width)
                 names = pa.array(_digests(keys, offsets), pa.binary())
                 blob = pa.LargeBinaryArray.from_buffers(

@@ -140,7 +140,7 @@ def _token_counts(rows: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in T.pieces(batch):
+            for piece in T.pieces(batch, limit=T.HASH_BYTES):
                 h, row = T.word_hashes(piece.column("text"), letters=True)
                 y = piece.column("y").to_numpy(zero_copy_only=False).astype(np.int64)
                 order = np.lexsort((h, row))
@@ -201,7 +201,7 @@ def fit(
 
     def strongest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in T.pieces(batch):
+            for piece in T.pieces(batch, limit=T.HASH_BYTES):
                 found, n = model.segments(piece.column("text"))
                 top = np.array([max((s[2] for s in own), default=0.0) for own in found], float)
                 yield pa.record_batch([piece.column("y"), pa.array(top), pa.array(n.astype(np.int64))], ["y", "top", "n"])
@@ -212,7 +212,7 @@ def fit(
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in T.pieces(batch):
+            for piece in T.pieces(batch, limit=T.HASH_BYTES):
                 yield pa.record_batch([piece.column("y"), pa.array(model.evidence(piece.column("text"))[0])], ["y", "x"])
 
     seen = rows.mapInArrow(weigh, "y int, x double").toArrow()
@@ -234,7 +234,7 @@ def score(docs: DataFrame, model: Model, keep: Column | str = "doc_id", text: st
         model = sent.value
         passage = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
         for batch in batches:
-            for piece in T.pieces(batch):
+            for piece in T.pieces(batch, limit=T.HASH_BYTES):
                 evidence, kept = model.evidence(piece.column("text"))
                 spans = pa.array([[dict(zip(("first", "last", "score"), s)) for s in own] for own in kept], passage)
                 yield pa.record_batch(
@@ -252,7 +252,7 @@ def without_toxic(docs: DataFrame, model: Model, at: float, text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in T.pieces(batch, text):
+            for piece in T.pieces(batch, text, T.HASH_BYTES):
                 evidence, _ = sent.value.evidence(piece.column(text))
                 yield piece.filter(pa.array(sent.value.probability(evidence) < at))
 

@@ -2,13 +2,15 @@
 
 import math
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plumbrow.llm import queries, toxicity
+from plumbrow.llm import queries, text as T, toxicity
 
 
 def brute_segments(scores, first=0):
@@ -116,3 +118,29 @@ def test_score_uses_the_text_only(spark, made):
     assert a == sorted(r.score for r in toxicity.score(moved, model).collect())
     segments, counts = model.segments(pa.array([rows[0][1]]))
     assert len(segments) == 1 and counts[0] == len(rows[0][1].replace("!", "").split())
+
+
+def test_scoring_takes_little_memory():
+    """Memory of NumPy while 8 MB of text are scored in one batch; 76 MB before."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(5000)])
+    texts = [" ".join(words[rng.integers(0, 5000, 700)]) for _ in range(2000)]
+    batch = pa.record_batch([pa.array(range(2000)), pa.array(texts)], ["doc_id", "text"])
+    model = toxicity.Model(np.empty(0, np.uint64), np.empty(0), -0.25, 1.0, 1.0, 0.05, 0.0, 0.0)
+
+    class Rows:  # what is handed to Spark, run here
+        schema = None
+        sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda m: SimpleNamespace(value=m)))
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = toxicity.without_toxic(Rows(), model, 0.6)
+    T._powers.clear()
+    tracemalloc.start()
+    try:
+        kept = sum(part.num_rows for part in run(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert kept == 2000 and most < 50 << 20
