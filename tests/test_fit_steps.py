@@ -68,6 +68,7 @@ def test_deep_trees_are_grown_in_groups_over_few_partitions(spark, monkeypatch,
     seen = []
     real = classifiers.as_vector
     monkeypatch.setattr(classifiers, "as_vector", lambda df, *a: seen.append(df) or real(df, *a))
+    monkeypatch.setattr(classifiers, "GROUP_ROWS", 400)
     fitted = Classifier("forest", {"trees": 30, "depth": 20}, "balanced").fit(rows, "z")
     assert len(seen) == 12 and {df.rdd.getNumPartitions() for df in seen} == {1}  # one partition and six before
     forest = fitted.model
@@ -87,8 +88,11 @@ def test_deep_trees_are_grown_in_groups_over_few_partitions(spark, monkeypatch,
     assert forest.totalNumNodes == sum(t.numNodes for t in trees)
     forest.save(str(tmp_path / "forest"))
 
-    # Shallow trees and tables that fill the cores by themselves are Spark's alone.
+    # Shallow trees, small tables and tables that fill the cores by themselves are Spark's alone.
     assert not hasattr(Classifier("forest", {"trees": 3, "depth": 12}).fit(rows, "z").model, "forests")
+    monkeypatch.setattr(classifiers, "GROUP_ROWS", 401)
+    assert not hasattr(Classifier("forest", {"trees": 3, "depth": 20}).fit(rows, "z").model, "forests")
+    monkeypatch.setattr(classifiers, "GROUP_ROWS", 400)
     monkeypatch.setattr(classifiers, "TASK_BYTES", 25 * (4 * 4 + 8 * 3 + 330))
     seen.clear()
     assert not hasattr(Classifier("forest", {"trees": 30, "depth": 20}).fit(rows, "z").model, "forests") and len(seen) == 1
