@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from plumbrow.operators import classifiers
 from plumbrow.operators.classifiers import Classifier, best_kmeans, lloyd
@@ -96,3 +97,37 @@ def test_deep_trees_are_grown_in_groups_over_few_partitions(spark, monkeypatch,
     monkeypatch.setattr(classifiers, "TASK_BYTES", 25 * (4 * 4 + 8 * 3 + 330))
     seen.clear()
     assert not hasattr(Classifier("forest", {"trees": 30, "depth": 20}).fit(rows, "z").model, "forests") and len(seen) == 1
+
+
+def test_groups_score_in_queries_of_their_own(spark, monkeypatch):
+    rows, _ = points(spark, tasks=6)
+    monkeypatch.setattr(classifiers, "GROUP_ROWS", 400)
+    fitted = Classifier("forest", {"trees": 24, "depth": 20}, "balanced").fit(rows, "z")
+    stored = []
+    real = classifiers.settle
+    monkeypatch.setattr(classifiers, "settle", lambda df: stored.append(df) or real(df))
+    scored = fitted.score(rows.withColumn("_other", F.lit("a")))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("UDF") == 2  # to a vector and back; the trees of all twelve groups stood beside them
+    assert len(stored) == 13 and {df.rdd.getNumPartitions() for df in stored[1:]} == {1}
+    once = sorted(map(tuple, scored.collect()))
+    assert len(once) == 400 and once == sorted(map(tuple, fitted.score(rows.repartition(2).withColumn("_other", F.lit("a"))).collect()))
+    twice = fitted.score(rows.union(rows)).select("i", "score").collect()
+    assert len(twice) == 800 and len(set(twice)) == 400
+    assert fitted.score(rows.limit(0)).count() == 0
+    monkeypatch.setattr(classifiers, "SCORE_ROWS", 100)
+    stored.clear()
+    assert len(fitted.score(rows).collect()) == 400 and {df.rdd.getNumPartitions() for df in stored[1:]} == {4}
+
+
+def test_a_margin_fit_reads_few_partitions(spark, monkeypatch):
+    rows, _ = points(spark, tasks=6)
+    seen = []
+    real = classifiers.as_vector
+    monkeypatch.setattr(classifiers, "as_vector", lambda df, *a: seen.append(df) or real(df, *a))
+    svm = Classifier("fourier_svm", {"dims": 16, "rounds": 5}, "balanced")
+    wide = svm.fit(rows, "z")
+    monkeypatch.setattr(classifiers, "MARGIN_BYTES", 100 * 8 * 16)
+    narrow = svm.fit(rows, "z")
+    assert [df.rdd.getNumPartitions() for df in seen] == [1, 4]
+    assert np.allclose(wide.model.coefficients.toArray(), narrow.model.coefficients.toArray(), atol=0.05)
