@@ -38,6 +38,14 @@ def test_a_released_write_leaves_no_shuffle_files(spark):
     assert spark.conf.get(session.RELEASE) == kept
 
 
+def test_an_encoding_lets_go_of_its_rows_and_shuffles(spark, monkeypatch):
+    before, calls = set(stored_columns(spark)), []
+    real = study.release_shuffles
+    monkeypatch.setattr(study, "release_shuffles", lambda s: calls.append(set(stored_columns(s)) - before) or real(s))
+    study.fit_encoding(rows_of(spark), "f", ["k"], study.Latent(width=2, epochs=1))
+    assert calls == [set()]  # once, when the stored rows have gone
+
+
 def test_a_stored_table_is_read_in_pieces_without_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(session, "ROW_GROUP_BYTES", 4096)
     rows = settle(spark.range(0, 50_000, 1, 2).withColumn("h", F.md5(F.col("id").cast("string"))))
