@@ -13,11 +13,14 @@ from plumbrow.plans import catalog_models, study
 from plumbrow.session import cut, discard, settle, shared_dir
 
 
-def stored_columns(spark):
-    """Columns of the tables in the shared folder."""
+def stored(spark):
+    """Names of the tables in the shared folder."""
     top = shared_dir(spark).removeprefix("file://")
-    whole = [f for f in os.listdir(top) if f.startswith("table-") and os.path.exists(os.path.join(top, f, "_SUCCESS"))]
-    return {f: set(spark.read.parquet(os.path.join(top, f)).columns) for f in whole}
+    return {f for f in os.listdir(top) if f.startswith("table-") and os.path.exists(os.path.join(top, f, "_SUCCESS"))}
+
+
+def columns_since(spark, before):
+    return [set(spark.read.parquet(os.path.join(shared_dir(spark), f)).columns) for f in stored(spark) - before]
 
 
 def rows_of(spark, n=300):
@@ -39,9 +42,9 @@ def test_a_released_write_leaves_no_shuffle_files(spark):
 
 
 def test_an_encoding_lets_go_of_its_rows_and_shuffles(spark, monkeypatch):
-    before, calls = set(stored_columns(spark)), []
+    before, calls = stored(spark), []
     real = study.release_shuffles
-    monkeypatch.setattr(study, "release_shuffles", lambda s: calls.append(set(stored_columns(s)) - before) or real(s))
+    monkeypatch.setattr(study, "release_shuffles", lambda s: calls.append(stored(s) - before) or real(s))
     study.fit_encoding(rows_of(spark), "f", ["k"], study.Latent(width=2, epochs=1))
     assert calls == [set()]  # once, when the stored rows have gone
 
@@ -68,23 +71,23 @@ def test_only_tables_of_settle_are_discarded(spark, tmp_path):
 
 
 def test_the_evaluator_removes_its_tables_and_deals_no_rows_again(spark, monkeypatch):
-    before, levels = stored_columns(spark), []
+    before, levels = stored(spark), []
     real = DataFrame.persist
     monkeypatch.setattr(DataFrame, "persist", lambda self, *a: levels.append(a) or real(self, *a))
     monkeypatch.setattr(classifiers, "TASK_BYTES", 25 * (4 * 4 + 8 * 3 + 330))
     evaluate = study.audit_evaluator("f", ["k"], study.Latent(width=2, activation="tanh", epochs=1), Classifier("forest", {"trees": 3, "depth": 3}, "balanced"))
     out = evaluate(rows_of(spark)).first()
     assert 0 <= out["accuracy"] <= 1 and 0 <= out["auc_roc"] <= 1
-    left = [columns for name, columns in stored_columns(spark).items() if name not in before]
+    left = columns_since(spark, before)
     assert left and not any(columns & {"e", "_digest"} for columns in left)  # both stayed before
     assert levels == [()]  # the network's rows; the forest's were dealt and stored on disk before
 
 
 def test_the_audited_rows_are_stored_once(spark, sf, monkeypatch):
-    before = set(stored_columns(spark))
+    before = stored(spark)
     monkeypatch.setattr(study, "audit_evaluator", lambda *a, **b: lambda df: df.agg(F.count("*").cast("double").alias("n")))
     report = catalog_models.evaluated_audit(spark, sf)
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert {r["value"] for r in report.filter("section = 'metrics' and item <> 'delta'").collect()} == {float(lines)}
-    wide = [columns for name, columns in stored_columns(spark).items() if name not in before and "l_orderkey" in columns]
+    wide = [columns for columns in columns_since(spark, before) if "l_orderkey" in columns]
     assert len(wide) == 1 and {"_by_row", "_by_group"} <= wide[0]
